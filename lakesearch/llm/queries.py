@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec
-from .common import table
+from . import quality_rules, sentencepiece_codec, toxicity
+from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,9 +17,24 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(docs).select("doc_id", "coded.*")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = materialize(quality_rules.measures(docs).drop("text"), "measures")
+    judged = quality_rules.judge(measured, table(spark, sf_dir, "labels"))
+    counts = [f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_sentencepiece": op4_sentencepiece,
+        "op6_quality_rules": op6_quality_rules,
+        "op9_toxicity": op9_toxicity,
     }
 
 
