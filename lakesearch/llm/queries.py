@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, sentencepiece_codec, toxicity
+from . import decontamination, minhash_dedup, quality_rules, sentencepiece_codec, toxicity
 from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
+    items = F.col("leak.items")
+    return seen.select(
+        "doc_id", "leak.n_words", "leak.n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) >= 2).alias("contaminated"),
+    )
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.digests(docs).select("doc_id", "coded.*")
@@ -30,11 +40,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash_dedup.cluster(docs, k=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op4_sentencepiece": op4_sentencepiece,
         "op6_quality_rules": op6_quality_rules,
         "op9_toxicity": op9_toxicity,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
