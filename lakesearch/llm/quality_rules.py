@@ -148,15 +148,13 @@ def thresholds(measured: DataFrame, stratum: Column, max_false_rejection: float
     hist = long.groupBy("stratum", "rule", "half", "good", "q").agg(F.count("*").alias("n"))
     n_strata = hist.select("stratum").distinct().count()
 
-    def cutoffs(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
-        alpha = delta / (len(RULES) * n_strata)
-        row = {"stratum": key[0]}
-        for rule in RULES:
-            row[f"cut_{rule}"] = choose(rows[rows["rule"] == rule], max_false_rejection / len(RULES), alpha)
-        return pd.DataFrame([row]).astype({f"cut_{r}": "Int64" for r in RULES})
-
-    schema = "stratum string, " + ", ".join(f"cut_{r} long" for r in RULES)
-    return hist.groupBy("stratum").applyInPandas(cutoffs, schema)
+    def cutoff(key: tuple[str, str], rows: pd.DataFrame) -> pd.DataFrame:
+        found = choose(rows, max_false_rejection / len(RULES), delta / (len(RULES) * n_strata))
+        return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cut": pd.array([found], "Int64")})
+
+    # A group has 4 * (GRID + 1) counts at most, whatever the number of documents.
+    cuts = hist.groupBy("stratum", "rule").applyInPandas(cutoff, "stratum string, rule string, cut long")
+    return cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES))
 
 
 def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", **risk: float) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, minhash_dedup, quality_rules, sentencepiece_codec, toxicity
+from . import chat_format, decontamination, minhash_dedup, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, warc
 from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,69 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.digests(docs).select("doc_id", "coded.*")
 
 
+#: A conversation of control strings only, added to the table.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
+    )
+    made = chat_format.format_conversations(rows.unionByName(probe))
+    turns, loss = F.col("turns"), F.array_join("loss", "")
+    nl = F.lit("\n")
+    return (
+        made.withColumn("turns", chat_format.parse(F.col("formatted")))
+        .withColumn("loss", chat_format.under_mask(F.col("formatted"), F.col("loss_runs")))
+        .select(
+            "conv_id", F.size(turns).cast("long").alias("n_turns"),
+            F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t.role, nl, t.text, nl)), ""), 256).alias("turns_sha256"),
+            F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+        )
+    )
+
+
+def op5_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def escaped(col: str) -> str:
+        out = f"replace({col}, '\\', '\\\\')"
+        for c in chat_format.CONTROLS:
+            out = f"replace({out}, {quoted(c)}, {quoted(c[0] + chr(92) + c[1:])})"
+        return out
+
+    head = len(chat_format.TURN + chat_format.BODY)
+    tail = len(chat_format.END) + 1
+    return f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', {quoted(PROBE)} UNION ALL SELECT -1, 1, 'assistant', {quoted(PROBE)}
+), seen AS (
+  SELECT *, lag(role) OVER w AS was, row_number() OVER w AS n FROM rows
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY n), '')) AS loss_sha256,
+  CAST(sum(length({escaped("text")}) + CASE WHEN was IS DISTINCT FROM role
+    THEN length({escaped("role")}) + {head + tail} ELSE {len(chat_format.PART)} END) AS BIGINT) AS formatted_chars
+FROM seen GROUP BY conv_id"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = materialize(quality_rules.measures(docs).drop("text"), "measures")
@@ -35,6 +93,33 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_sql() -> str:
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r.key))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda out, other: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{out(r)}'" for r in rules) + f" ELSE {other} END"
+    return f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+)
+SELECT page_id, host, path, {case(lambda r: r.key, "NULL")} AS rule, {case(lambda r: r.verdict, "'allow'")} AS verdict FROM parsed"""
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return sharding.shard(docs, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -49,12 +134,16 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op3_warc": op3_warc,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_chat_format": op5_chat_format,
         "op6_quality_rules": op6_quality_rules,
+        "op7_url_filter": op7_url_filter,
+        "op8_sharding": op8_sharding,
         "op9_toxicity": op9_toxicity,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": op5_sql(), "op7_url_filter": op7_sql()}
