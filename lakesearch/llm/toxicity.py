@@ -116,17 +116,16 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
         return empty
     # 2 * sample_rows rows of two numbers at most, so this side may be broadcast.
     picked = docs.select("id", "text").join(F.broadcast(sample(labelled, sample_rows)), "id")
-    rows = materialize(picked.orderBy(F.xxhash64("id", "text")).limit(2 * sample_rows), "toxic_sample").repartition(6)
+    one_each = picked.groupBy("id", "label").agg(F.min("text").alias("text"))  # of a repeated id one text counts
+    rows = materialize(one_each, "toxic_sample").repartition(6)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, BUCKETS), np.int32)
         n = [0, 0]
         for b in batches:
-            y = b["label"].to_numpy()
-            d, f = features(list(b["text"]))
-            for c in (0, 1):
-                seen[c] += np.bincount(f[y[d] == c], minlength=BUCKETS).astype(np.int32)
-                n[c] += int((y == c).sum())
+            for y, text in zip(b["label"], b["text"]):
+                seen[y, features([text])[1]] += 1  # the features of a text are distinct
+                n[y] += 1
         yield pd.DataFrame({"n0": [n[0]], "n1": [n[1]], "seen": [seen.tobytes()]})
 
     parts = rows.mapInPandas(count, "n0 long, n1 long, seen binary").collect()  # six rows of 2 MB
