@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, minhash_dedup, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, warc
+from . import chat_format, decontamination, language_model, minhash_dedup, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, warc
 from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -134,6 +138,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_language_model": op2_language_model,
         "op3_warc": op3_warc,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_chat_format": op5_chat_format,
