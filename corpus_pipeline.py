@@ -1,26 +1,65 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next.
+
+1. toxicity: documents that the classifier of operator 9 predicts toxic go; it learns from ``labels``.
+2. quality: documents that the rules of operator 6 reject go; cutoffs come from ``labels``.
+3. near_dedup: of each group of near-duplicates (operator 10, five-word shingles, similarity 0.8) the
+   document with the smallest id stays.
+4. decontamination: documents with several benchmark items, or mostly made of them, go; spans of the
+   others are cut out of the text (operator 1).
+5. sentencepiece: the ids of every whole text, and the text they decode to (operator 4).
+
+All but the last return the columns of ``documents``; n_chars is kept as it was read unless a stage
+changes the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lakesearch.llm import decontamination, minhash_dedup, quality_rules, sentencepiece_codec, toxicity
+from lakesearch.llm.common import materialize, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.filter("predicted = 0").select(*docs.columns)
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    measured = materialize(quality_rules.measures(docs), "measured")
+    judged = quality_rules.judge(measured, table(spark, sf_dir, "labels"))
+    return judged.filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.deduplicate(docs, k=5, percent=80)
+
 
-from lakesearch.llm import sentencepiece_codec
-from lakesearch.llm.common import materialize
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    changed = F.col("leak.n_hit") > 0
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every whole text, with the text they decode to."""
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.decode(sentencepiece_codec.encode(docs), out="decoded")
 
 
-STAGES = [("sentencepiece", encoding)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("quality_rules", reject_low_quality),
+    ("minhash_near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
 
-#: Models, hashes and thresholds take part; SQL can't express the stages. tests/llm has a brute-force version.
+#: Models, hashes and certified thresholds take part; SQL can't express the stages. tests/llm holds each
+#: stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
