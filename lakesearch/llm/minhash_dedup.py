@@ -13,10 +13,11 @@
 4. Candidates are taken in rounds so that no group is expanded into pairs. In the first ``STARS`` rounds
    the members of a band bucket meet one center, another in each round. Components are formed from the
    verified links, and a bucket whose members are all in one component is closed. The last round makes
-   the search exact: in each open bucket the members outside its largest component meet all members of
-   other components, block against block within tasks that emit only what passes the posterior. A large
-   group of copies closes in the first rounds; the last compares what really differs. No cap applies: a
-   bucket of any size is dealt into blocks of ``BLOCK`` members, each pair of blocks for a task of its own.
+   the search exact: the members of open buckets outside the largest component meet all members of other
+   components with which they share a band, block against block, within tasks that hold the full sets
+   and emit verified links only. A large group of copies closes in the first rounds; the last compares
+   what really differs. No cap applies: a group of any size is dealt into blocks (``BLOCK`` documents or
+   ``BLOCK_SHINGLES`` shingles on average), each pair of blocks for a task of its own.
 
 Shingle hashes are 64-bit words, built from two mixed polynomial hashes of the words; set sizes and
 intersections are exact but for collisions among them (about n^2 / 2^65 in a set of n).
@@ -42,7 +43,7 @@ from .common import materialize, mix64, release
 from .components import components
 
 HASHES, BATCH, MISS = 128, 16, 1e-6
-BLOCK, STARS = 512, 2
+BLOCK, BLOCK_SHINGLES, STARS = 256, 1_000_000, 2
 #: Pieces of text that numpy handles at once, in bytes.
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -180,31 +181,40 @@ def _signed(x: np.uint64) -> int:
     return int(np.uint64(x).view(np.int64))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union on the full sets.
-
-    Only the documents in a pair are read again; each pair meets its two sets by two equi joins.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, tag: str) -> DataFrame:
+    """(doc_id, set) of the documents whose id is in ids, recomputed from their whole texts."""
 
     @F.pandas_udf("binary")
     def full(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(x, k).tobytes() for x in texts], dtype=object)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    of = materialize(texts.select("doc_id", full("text").alias("set")), f"sets_{tag}")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.distinct(), "doc_id", "left_semi")
+    return materialize(texts.select("doc_id", full("text").alias("set")), f"sets_{tag}")
+
+
+def similar(p: bytes, q: bytes, percent: int) -> bool:
+    s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    common = int((t[at] == s).sum()) if len(t) else 0
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
+    """Of pairs (a, b), those with 100 * intersection >= percent * union on the full sets.
+
+    Only the documents in a pair are read again; each pair meets its two sets by two equi joins.
+    """
+    of = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k, tag)
     both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(
         of.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b"
     )
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * common >= percent * (len(s) + len(t) - common))
-        return pd.Series(out)
+        return pd.Series([similar(p, q, percent) for p, q in zip(x, y)])
 
     found = materialize(both.filter(linked("x", "y")).select("a", "b"), f"links_{tag}")
     release(of)
@@ -235,28 +245,27 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS)
     buckets = materialize(member.join(shared.select("key"), "key").distinct(), "buckets")
     tried: DataFrame | None = None
     for r in range(STARS + 1):
+        last = r == STARS
         at = buckets.join(label.select(F.col("node").alias("id"), "component"), "id", "left")
         placed = materialize(at.withColumn("component", F.coalesce("component", "id")), "placed")
         # Buckets with more than one component, with a center that differs from round to round.
         center = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(r)) if r else F.col("id"))
         split = placed.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), center.alias("center")
-        ).filter("low <> high")
-        if r < STARS:
+            F.min("component").alias("low"), F.max("component").alias("high"), center.alias("center"), F.count("*").alias("n")
+        ).filter("low <> high and n > 2" if r else "low <> high")
+        if last:
+            links = across(placed.join(split.select("key"), "key"), heads, docs, k, percent, miss)
+        else:
             met = placed.join(split.select("key", "center"), "key").filter("component <> center.component")
             pairs = met.select(F.greatest("id", "center.id").alias("a"), F.least("id", "center.id").alias("b")).distinct()
-            passed = posterior(pairs, small, percent, threshold, miss)
-        else:
-            passed = across(placed.join(split.select("key"), "key"), small, percent, threshold, miss)
-        passed = passed.distinct() if tried is None else passed.distinct().join(tried, ["a", "b"], "left_anti")
-        passed = materialize(passed, f"pairs_{r}")
-        links = verify(passed, docs, k, percent, str(r))
-        found = not links.isEmpty()
-        if found:
+            passed = posterior(pairs, small, percent, threshold, miss).distinct()
+            passed = materialize(passed if tried is None else passed.join(tried, ["a", "b"], "left_anti"), f"pairs_{r}")
+            links = verify(passed, docs, k, percent, str(r))
+            tried = passed if tried is None else tried.unionByName(passed)
+        if not links.isEmpty():
             known = label.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             label = components(links.unionByName(known))
         release(placed)
-        tried = passed if tried is None else tried.unionByName(passed)
     release(buckets)
     of_class = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(of_class.select(*fp, F.coalesce("component", "rep").alias("component_id")), "component_of_class")
@@ -281,45 +290,67 @@ def posterior(pairs: DataFrame, heads: DataFrame, percent: int, threshold: float
     return both.select("a", "b", "x", "y").mapInPandas(test, "a long, b long")
 
 
-def across(opened: DataFrame, heads: DataFrame, percent: int, threshold: float, miss: float) -> DataFrame:
-    """Pairs across components in open buckets that pass the batches. opened: (key, id, component).
+def across(opened: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """Links across components in open buckets. opened: (key, id, component).
 
-    In each bucket the members outside its largest component meet all others of the bucket. Both sides
-    are dealt into blocks; a task has one block of either and emits only pairs that pass.
+    Buckets with the same largest component form a group, in which the documents outside that component
+    meet all others. Both sides are dealt into blocks by the number of documents and of shingles; a task
+    holds the full sets of one block of either side, takes the pairs that share a band, and emits
+    verified links only, one for a document and a component at most.
     """
-    sizes = opened.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")
-    ).select(
-        "key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"),
-        F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("out_parts"),
+    threshold = percent / 100
+    size = opened.select("id", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+    main = opened.join(size, "component").groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    rows = materialize(opened.join(main, "key").select("main", "id", "component").distinct(), "open")
+    narrow = heads.select(F.col("doc_id").alias("id"), "n_shingles")
+    outside = F.col("component") != F.col("main")
+    parts = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+    dims = rows.join(narrow, "id").groupBy("main").agg(
+        parts(F.count("*"), F.sum("n_shingles")).alias("parts"),
+        parts(F.count_if(outside), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("out_parts"),
     )
-    dealt = opened.join(main, "key")
-    row = ["key", "id", "component"]
+    dealt = rows.join(dims, "main")
+    row = ["main", "id", "component"]
     every = dealt.select(
         *row, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("out_parts") - 1)).alias("p"),
         F.pmod(F.xxhash64("id"), "parts").cast("int").alias("q"),
     )
-    outside = dealt.filter("component <> main").select(
-        *row, F.lit(True).alias("out"), F.pmod(F.xxhash64("id"), "out_parts").cast("int").alias("p"),
+    outer = dealt.filter(outside).select(
+        *row, F.lit(True).alias("out"), F.pmod(F.xxhash64("id", F.lit(1)), "out_parts").cast("int").alias("p"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"),
     )
-    filled = every.unionByName(outside).join(heads.select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "id")
+    of = full_sets(docs, rows.select(F.col("id").alias("doc_id")), k, "open")
+    head = heads.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "keys")
+    filled = every.unionByName(outer).join(head, "id").join(of.withColumnRenamed("doc_id", "id"), "id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
         ids, comp, size, out = (rows[c].to_numpy() for c in ("id", "component", "n_shingles", "out"))
-        others = np.flatnonzero(~out)
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
+        keys, sets = np.stack(rows["keys"]), rows["set"].to_numpy()
+        left, right = np.flatnonzero(out), np.flatnonzero(~out)
         found = []
-        for i in np.flatnonzero(out):
-            j = others[comp[others] != comp[i]]
-            j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-            if len(j):
-                ok = survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], threshold, miss)
-                found += [(max(ids[i], ids[x]), min(ids[i], ids[x])) for x in j[ok]]
+        if len(left) and len(right):
+            flat = keys[right].ravel()
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], right[order // keys.shape[1]]
+            for i in left:
+                lo, hi = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
+                j = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]))
+                j = j[comp[j] != comp[i]]
+                j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+                if not len(j):
+                    continue
+                ok = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], threshold, miss)]
+                linked: set[int] = set()
+                for x in ok:
+                    if comp[x] not in linked and similar(sets[i], sets[x], percent):
+                        linked.add(comp[x])
+                        found.append((ids[i], ids[x]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return filled.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
+    links = materialize(filled.groupBy("main", "p", "q").applyInPandas(compare, "a long, b long"), "links_open")
+    release(of, rows)
+    return links
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
