@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fold_of, materialize, space_words
@@ -267,17 +268,21 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
     shared = sc.broadcast((vocab.known if vocab.distinct else {}, tables, vocab.bin_log))
     ln10 = math.log(10)
 
-    @F.pandas_udf("n_tokens long, n_known long, common double, model double, rare array<struct<token:binary,n:long>>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    schema = (
+        "doc_id long, held_out boolean, row long, n_tokens long, n_known long, common double, model double, "
+        "rare array<binary>, rare_n array<long>"
+    )
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (m1, m2, z), bin_log = shared.value
-        for s in batches:
-            texts, rows, i = list(s), [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and size < 1 << 20:
-                    size += len(texts[j] or "")
-                    j += 1
-                flat, sizes, tokens = classes_of(texts[i:j], known)
+        for batch in batches:
+            texts, begin = batch.column("text"), 0
+            while begin < len(texts):  # slices of about a megabyte
+                part, size = [], 0
+                while begin + len(part) < len(texts) and size < 1 << 20:
+                    part.append(texts[begin + len(part)].as_py())
+                    size += len(part[-1] or "")
+                flat, sizes, tokens = classes_of(part, known)
                 a, b, w = contexts(flat, sizes)
                 p = (m1[a, w].astype(np.float64) + m2[b, w] - z[a, b]) / ln10 - bin_log[w]
                 logs = np.fromiter((e[1] if (e := known.get(t)) is not None else -1.0 for t in tokens), np.float64, len(tokens))
@@ -285,26 +290,39 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
                 common = np.where(is_known, logs, 0.0)
                 inside = np.where(w >= FIRST_BIN, common, 0.0)
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                n_known = np.add.reduceat(is_known.astype(np.int64), first)
-                common, total = np.add.reduceat(common, first), np.add.reduceat(p + inside, first)
-                for d in range(len(sizes)):
-                    begin = first[d]
-                    left = np.flatnonzero(~is_known[begin : begin + sizes[d]])
-                    rare = Counter(tokens[begin + x] for x in left)
-                    rows.append((int(sizes[d]), int(n_known[d]), common[d], total[d], [{"token": t, "n": n} for t, n in rare.items()]))
-                i = j
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "common", "model", "rare"])
-
-    rows = docs.select("doc_id", (~train_fold()).alias("held_out"), of("text").alias("s")).select("doc_id", "held_out", "s.*")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm_rows")
+                rare: list[list[bytes]] = []
+                rare_n: list[list[int]] = []
+                unseen = np.flatnonzero(~is_known)
+                cut = np.searchsorted(unseen, np.concatenate([first, [len(tokens)]]))
+                for i, j in zip(cut, cut[1:]):
+                    counts = Counter(tokens[x] for x in unseen[i:j])
+                    rare.append(list(counts.keys()))
+                    rare_n.append(list(counts.values()))
+                n = len(part)
+                own = batch.slice(begin, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column("doc_id"), own.column("held_out"), own.column("row"), pa.array(sizes, pa.int64()),
+                        pa.array(np.add.reduceat(is_known.astype(np.int64), first), pa.int64()),
+                        pa.array(np.add.reduceat(common, first)), pa.array(np.add.reduceat(p + inside, first)),
+                        pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "common", "model", "rare", "rare_n"],
+                )
+                begin += n
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (~train_fold()).alias("held_out"), F.monotonically_increasing_id().alias("row"), "text"
+    )
+    rows = materialize(rows.mapInArrow(of, schema), "lm_rows")
     # Tokens beyond the broadcast ones; none of them is frequent, so the join has no hot key.
-    rare = rows.select("row", F.explode("rare").alias("t")).select("row", "t.token", "t.n")
+    rare = rows.select("row", F.explode(F.arrays_zip(F.col("rare").alias("token"), F.col("rare_n").alias("n"))).alias("t")).select("row", "t.token", "t.n")
     hit = rare.join(counts, "token").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("rare_log"), F.sum("n").alias("rare_known")
     )
     denominator = math.log10(vocab.total + vocab.distinct + 1)
     extra = F.coalesce("rare_log", F.lit(0.0))
-    return rows.drop("rare").join(hit, "row", "left").select(
+    return rows.drop("rare", "rare_n").join(hit, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
