@@ -6,7 +6,7 @@ of all sources, sorted by it, are cut into shards of equal row counts: counts di
 each shard has its share of every source up to one row for each cut.
 
 No window ever spans a source or the table. Ranks are made of two parts: rows are dealt by their hash
-into buckets of about ``bucket_rows`` rows and ranked there, and the bucket adds the number of rows
+into buckets of about ``bucket_rows`` rows at most (``MIN_BUCKETS`` at least) and ranked there, and the bucket adds the number of rows
 before it. The same is done over the fractional rank for the position in the whole. So a source with
 most rows is as many tasks as its buckets.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize
 
-BUCKET_ROWS = 100_000
+BUCKET_ROWS, MIN_BUCKETS = 100_000, 64
 SIZE_OVERHEAD = 16
 SPAN = 1 << 32
 
@@ -57,7 +57,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_rows: int =
     total = rows.count()
     if not total:
         return rows.select("doc_id", "source", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    buckets = max(1, math.ceil(total / bucket_rows))
+    buckets = max(MIN_BUCKETS, math.ceil(total / bucket_rows))
     order = ["h", "doc_id", "text_crc32", "size"]
     dealt = rows.withColumn("bucket", (F.shiftright("h", 32) + SPAN // 2) * buckets / SPAN).withColumn("bucket", F.col("bucket").cast("long"))
     ranked = _numbered(dealt, ["source"], "bucket", order, "rank")
