@@ -49,6 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of whole texts: the default of 10,000 rows has no bound in bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lakesearch/{uuid.uuid4().hex}/{tag}"
 

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import alnum_words, materialize
+from .common import alnum_words, materialize, small_batches
 
 WINDOW = 8
 #: Words of items in one broadcast automaton (about 400 bytes each in a worker).
@@ -157,6 +157,7 @@ def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tu
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Add ``leak``: n_words, n_hit, spans (array of begin and end in words, flattened), items (sorted ids)."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.withColumn("leak", F.lit(None).cast("struct<n_words:bigint,n_hit:bigint,spans:array<int>,items:array<string>>"))
     for k, block in enumerate(blocks(items, block_words)):
         if k:

@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold_of, materialize, space_words
+from .common import fold_of, materialize, small_batches, space_words
 
 END = b""
 SINGLES, BINS, TOP = 768, 255, 32_768
@@ -333,6 +333,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
 
 def learn_and_score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """docs: (doc_id, text); the rows outside the held-out fold teach, all rows are scored."""
+    small_batches(docs.sparkSession)
     teach = docs.filter(train_fold()).select("text")
     counts = materialize(count_tokens(teach), "lm_counts")
     vocab = vocabulary(counts)

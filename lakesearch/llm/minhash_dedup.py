@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, mix64, release
+from .common import materialize, mix64, release, small_batches
 from .components import components
 
 HASHES, BATCH, MISS = 128, 16, 1e-6
@@ -223,6 +223,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) ->
 
 def cluster(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """docs: (doc_id, text). Returns (doc_id, n_shingles, component_id), a row for each row of docs."""
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     bands, rows = plan_bands(threshold, HASHES, miss)
     profile = materialize(profiles(docs, k, bands, rows), "profiles")

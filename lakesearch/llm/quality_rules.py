@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER, fold_of
+from .common import LOWER, UPPER, fold_of, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 #: Measures in thousandths of words, lines, letters or characters; each is a rule.
@@ -79,6 +79,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def measures(docs: DataFrame, text: str = "text", out: str = "measures") -> DataFrame:
     """Add the struct ``out`` with the counts and the measures of the rules."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(MEASURES)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

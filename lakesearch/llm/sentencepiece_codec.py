@@ -28,6 +28,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import small_batches
+
 BLANK = "▁"
 #: Parts and neighbour pairs that a worker keeps; when full, a cache starts anew.
 CACHE_PARTS, CACHE_PAIRS, CACHED_CHARS = 500_000, 1_000_000, 64
@@ -271,6 +273,7 @@ def codec(model_file: str) -> PieceCodec:
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", model_file: str | None = None) -> DataFrame:
     """Add the column ``out`` (array<int>) with the ids of the whole text; all columns are kept."""
     model = model_file or public_model()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -284,6 +287,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model_file: st
 def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model_file: str | None = None) -> DataFrame:
     """Add the column ``out`` with the text of an array of ids; a null array gives the empty text."""
     model = model_file or public_model()
+    small_batches(rows.sparkSession)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -297,6 +301,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model_file: str
 def digests(docs: DataFrame, text: str = "text", model_file: str | None = None) -> DataFrame:
     """Add a struct ``coded``: n_tokens, ids_sha256, decoded_sha256 of encoding and decoding again."""
     model = model_file or public_model()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

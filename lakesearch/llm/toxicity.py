@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold_of, materialize, release
+from .common import fold_of, materialize, release, small_batches
 
 ORDERS = (3, 4, 5, 6)
 BITS = 18
@@ -204,6 +204,7 @@ def train_fold(doc_id: str | Column = "doc_id") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """Add held_out, score and predicted to docs (doc_id, text, ...), learning from labels (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     teach = labels.filter(train_fold()).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
     model = fit(docs.select(F.col("doc_id").alias("id"), "text"), teach, **bounds)
     kept = docs.drop("held_out", "score", "predicted")

@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, scratch
+from .common import materialize, scratch, small_batches
 
 NO_DATE = "1970-01-01T00:00:00Z"
 MIN_PAYLOAD = 0
@@ -245,6 +245,7 @@ def merge_index(captures: DataFrame, ranges: int | None = None) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back and merge the index."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = scratch(spark, "warc")
     write_archives(pages, folder)
     if not _exists(spark, folder):
