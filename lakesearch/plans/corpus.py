@@ -73,12 +73,12 @@ def pretokenize_sql(x: str) -> str:
 
 
 def tokenize_sql(x: str) -> str:
-    """List of distinct tokens in first order."""
+    """List of distinct tokens, in no order."""
     quoted = text.SIGNS.replace("'", "''")
     words = f"string_split_regex(regexp_replace(lower({pretokenize_sql(x)}), '{quoted}', ' ', 'g'), '\\s+')"
     typos = "CASE t " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.TYPOS.items()) + " ELSE t END"
     kept = f"list_filter(list_transform({words}, lambda t: {typos}), lambda t: length(t) > 1 OR regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]'))"
-    return f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({kept}, lambda t: [t])), lambda acc, t: CASE WHEN list_contains(acc, t[1]) THEN acc ELSE acc || t END)"
+    return f"list_distinct({kept})"
 
 
 def stem_sql(t: str) -> str:
