@@ -77,15 +77,8 @@ class Engine:
             return "url"
         return "directory" if os.path.isdir(source) else "file" if os.path.isfile(source) else "text"
 
-    def _rules(self, source: str) -> list[str]:
-        path = os.path.join(source, ".gitignore")
-        if not os.path.isfile(path):
-            return []
-        with open(path, encoding="utf-8", errors="replace") as f:
-            return f.read().splitlines()
-
     def _scan(self, source: str, options: dict, content: bool) -> DataFrame:
-        return files.scan(self.spark, source, options.get("include_suggested_text", False), options.get("include_paths") or (), options.get("exclude_paths") or (), self._rules(source), content)
+        return files.scan(self.spark, source, options.get("include_suggested_text", False), options.get("include_paths") or (), options.get("exclude_paths") or (), content=content)
 
     def _files(self, kb_id: str, source: str, kind: str, options: dict) -> DataFrame:
         """(kb_id, file_path, content) of a source."""
@@ -99,10 +92,7 @@ class Engine:
             if source.lower().endswith((".pdf", ".docx")):
                 rows = files.documents(self.spark, source).withColumn("file_path", F.lit(source))
             else:
-                rows = self.spark.read.format("binaryFile").load(source)
-                if rows.filter(files.is_binary(F.lit(source), F.col("content"))).count():
-                    raise ValueError(f"{source} is a binary file")
-                rows = rows.select(F.lit(source).alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+                rows = files.single(self.spark, source)
         else:
             rows = files.inline(self.spark, kb_id, source).drop("kb_id")
         return rows.withColumn("kb_id", F.lit(kb_id))

@@ -118,12 +118,13 @@ def snippet(content: Column, query: Column, size: int = 240) -> Column:
 
 def exact_lookup(query: Column) -> Column:
     """Quotes, paths, CamelCase, acronyms, file names or ticket numbers ask for an exact look-up."""
+    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"  # Java's own knows more letters
     q, out = trim_all(query), F.lit(False)
     for pattern in (
         "[\"'`]", r"[./\\][\w.-]+", r"\b[A-Z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*\b", r"\b[A-Z]{2,}[_-]?[A-Z0-9]*\b",
         r"\b[a-zA-Z_][\w-]*\.(ts|tsx|js|jsx|go|rs|py|java|md|json|ya?ml|toml)\b", r"\b[A-Z]+-\d+\b",
     ):
-        out = out | q.rlike(pattern)
+        out = out | q.rlike(pattern.replace(r"\b", edge))
     return out
 
 

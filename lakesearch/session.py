@@ -1,11 +1,13 @@
-"""Sessions: settings for local runs, and the package for Python workers elsewhere."""
+"""Sessions: settings for local runs, the package for Python workers elsewhere, tables that cut a lineage."""
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -36,3 +38,22 @@ def ship(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
         return run(spark, sf_dir)
 
     return shipped
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a local session may get one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="lakesearch-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found := f"file://{own}")
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Written to the shared folder and read again: computed once, whatever executors are lost later."""
+    path = f"{shared_dir(df.sparkSession)}/lakesearch/{uuid.uuid4().hex}/{tag}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

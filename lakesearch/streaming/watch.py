@@ -1,4 +1,4 @@
-"""Watching sources: a file stream or snapshots, debounced per knowledge base, that trigger updates."""
+"""Watching sources: snapshots and change streams, debounced per knowledge base, that trigger updates."""
 
 from __future__ import annotations
 
@@ -7,13 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-DEBOUNCE, WATERMARK, POLL = "2 seconds", "10 seconds", "2 seconds"
-
+from ..operators.diff import snapshot_diff
+from ..sources.files import snapshot
 
-def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """(path, state) of all files below root; state changes with the time or the size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.concat_ws(":", F.unix_millis("modificationTime"), "length").alias("state"))
+DEBOUNCE, WATERMARK, POLL = "2 seconds", "10 seconds", "2 seconds"
 
 
 def debounce(changes: DataFrame, gap: str = DEBOUNCE, watermark: str = WATERMARK) -> DataFrame:
@@ -24,31 +21,48 @@ def debounce(changes: DataFrame, gap: str = DEBOUNCE, watermark: str = WATERMARK
     return bursts.select("kb_id", F.col("w.start").alias("first"), F.col("w.end").alias("fires_at"), "changes")
 
 
-def watch(spark: SparkSession, roots: dict[str, str], update: Callable[[str], None], checkpoint: str) -> list[StreamingQuery]:
-    """A file stream per knowledge base; each batch with new or changed files runs ``update`` once.
+class Poll:
+    """Compares each snapshot of a folder with the one before; fires once no more changes come.
 
-    Errors of an update are kept from ending the stream, as the next change tries again.
+    Snapshots are tables in the checkpoint folder, so a restarted watcher finds what changed meanwhile. A
+    changed snapshot resets the wait; the first quiet poll after it fires.
     """
 
-    def run(kb: str) -> Callable[[DataFrame, int], None]:
-        def batch(df: DataFrame, _: int) -> None:
-            if not df.isEmpty():
-                try:
-                    update(kb)
-                except Exception as e:  # noqa: BLE001  the stream outlives a failed update
-                    print(f"update of {kb} failed: {e}")
+    def __init__(self, spark: SparkSession, root: str, state: str, update: Callable[[], None]):
+        self.spark, self.root, self.state, self.update = spark, root, state, update
+        self.n, self.pending = 0, False
+
+    def __call__(self) -> bool:
+        """One poll; whether it fired."""
+        now = f"{self.state}/{self.n % 2}"
+        snapshot(self.spark, self.root).write.mode("overwrite").parquet(now)
+        schema = "path string, state string"
+        read = lambda at: self.spark.read.schema(schema).parquet(at)
+        self.n += 1
+        if self.n > 1:
+            before = f"{self.state}/{self.n % 2}"
+            if not snapshot_diff(read(before), read(now), ["path"], "state").isEmpty():
+                self.pending = True
+                return False
+        if not self.pending:
+            return False
+        self.pending = False
+        try:
+            self.update()
+        except Exception as e:  # noqa: BLE001  the watcher outlives a failed update; the next change tries again
+            print(f"update of {self.root} failed: {e}")
+        return True
 
-        return batch
 
+def watch(spark: SparkSession, roots: dict[str, str], update: Callable[[str], None], checkpoint: str) -> list[StreamingQuery]:
+    """A poll every two seconds for each knowledge base, driven by a stream; new, changed and deleted files count."""
     out = []
     for kb, root in roots.items():
-        files = (
-            spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-            .option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
-        )
+        poll = Poll(spark, root, f"{checkpoint}/{kb}/snapshots", lambda kb=kb: update(kb))
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
         out.append(
-            files.writeStream.foreachBatch(run(kb)).trigger(processingTime=POLL)
-            .option("checkpointLocation", f"{checkpoint}/{kb}").queryName(f"watch_{kb}").start()
+            ticks.writeStream.foreachBatch(lambda df, i, poll=poll: poll()).trigger(processingTime=POLL)
+            .option("checkpointLocation", f"{checkpoint}/{kb}/stream").queryName(f"watch_{kb}").start()
         )
     return out
 
