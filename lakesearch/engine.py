@@ -15,13 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import report
 from .functions import text
-from .operators import chunkers, diff, health
+from .operators import bm25, chunkers, diff, health
 from .plans import search as plans
 from .sources import files
 from .store import CHUNK, Store
 
 BATCH, API_CHARS, MODEL = 64, 20_000, "hashing-256"
+#: So many queries of a batch have their terms pushed into the scan of the postings.
+FEW_QUERIES = 64
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -145,6 +148,8 @@ class Engine:
         kb = self._need(target)
         if not kb["source_path"]:
             raise ValueError(f"{kb['name']} has no source to update from")
+        if kb["source_type"] != "url" and not files.exists(kb["source_path"]):
+            raise ValueError(f"the source of {kb['name']} is missing: {kb['source_path']}")
         now, options = self.now(), json.loads(kb["source_options"] or "{}")
         self.store.start_job(kb["id"], "update", now)
         try:
@@ -191,9 +196,12 @@ class Engine:
     def search_many(self, queries: list[str], o: plans.Options) -> DataFrame:
         vectors = self.embedder([f"query: {q}" for q in queries])
         asked = self.spark.createDataFrame([(i, q, [float(x) for x in v]) for i, (q, v) in enumerate(zip(queries, vectors))], "query_id long, raw string, vector array<float>")
-        # Statistics are of all bases, whatever is searched. Ids are texts; results get them back by number.
-        chunks = self.store.chunks().withColumn("key", F.col("id")).withColumn("id", F.xxhash64("id"))
-        return plans.search(plans.Index.of(chunks), asked, replace(o))
+        index = self.store.index()
+        if len(queries) <= FEW_QUERIES:  # then their terms are few, and only these postings are read
+            words = bm25.phrases(asked.select("query_id", F.concat_ws(" ", text.query_text(F.col("raw")), "raw").alias("query")))
+            terms = [r.t for r in words.select(F.explode("words").alias("t")).distinct().collect()]
+            index = replace(index, postings=index.postings.filter(F.col("term").isin(terms)))
+        return plans.search(index, asked, o)
 
     def status(self) -> DataFrame:
         return health.diagnose(*self._health())
@@ -220,6 +228,14 @@ class Engine:
         found = health.issues(self.status())
         return {**health.health_score(found).first().asDict(), "issues": [r.asDict() for r in found.collect()]}
 
+    def report(self, watchers: int = 0) -> str:
+        """The status of all bases as text."""
+        return report.status(self.store.root, [r.asDict() for r in self.store.kbs().collect()], [r.asDict() for r in self.status().collect()], self.now(), watchers)
+
+    def summary(self) -> str | None:
+        """One line that tells an agent which bases there are; None without any."""
+        return report.available([r.asDict() for r in self.store.kbs().collect()])
+
     def show(self) -> list[dict]:
         return [r.asDict() for r in self.store.kbs().collect()]
 
@@ -257,8 +273,7 @@ class Engine:
     def inject(self, conversations: DataFrame, limit: int = 3) -> DataFrame:
         """For each conversation: the best chunks for its last user message of five characters or more."""
         asked = last_user_message(conversations).select(F.col("conv_id").alias("query_id"), F.col("text").alias("raw"))
-        chunks = self.store.chunks().withColumn("id", F.xxhash64("id"))
-        found = plans.search(plans.Index.of(chunks), asked, plans.Options("fast", limit))
+        found = plans.search(self.store.index(), asked, plans.Options("fast", limit))
         return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda x: x.content), "\n\n").alias("context"))
 
 

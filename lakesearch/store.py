@@ -1,7 +1,8 @@
 """Knowledge bases on disk: Parquet generations behind a pointer, jobs, and incremental updates.
 
-Layout below ``root``: ``kbs/<gen>``, ``jobs/<gen>`` and ``chunks/<kb_id>/<gen>`` hold Parquet; ``CURRENT``
-names the generations in use. A writer makes a new generation and then swaps the pointer, so readers see
+Layout below ``root``: ``kbs/<gen>``, ``jobs/<gen>``, ``chunks/<kb_id>/<gen>`` and ``postings/<kb_id>/<gen>`` hold
+Parquet; ``CURRENT`` names the generations in use. Postings are sorted by term, so that a search reads the
+row groups of its terms. A writer makes a new generation and then swaps the pointer, so readers see
 the old state or the new one. One writer at a time.
 """
 
@@ -12,9 +13,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .operators import bm25
+from .plans.search import Index
+
 KB = "id string, name string, description string, source_type string, source_path string, source_options string, created_at long, updated_at long, chunk_count long, file_count long, embedding_model string, status string"
 JOB = "kb_id string, operation string, status string, phase string, message string, started_at long, last_progress_at long, finished_at long, total_files long, files_seen long, files_done long, chunks_seen long, chunks_added long, chunks_removed long, chunks_unchanged long, error_message string"
-CHUNK = "kb_id string, file_path string, ord long, content string, start_line int, end_line int, metadata_json string, file_type string, content_hash string, index_text string, content_tokenized string, indexed_at long, id string, embedding array<float>"
+CHUNK = "kb_id string, file_path string, ord long, content string, start_line int, end_line int, metadata_json string, file_type string, content_hash string, index_text string, content_tokenized string, dl int, indexed_at long, id string, embedding array<float>"
+POSTING = "term string, id long, kb_id string, dl int, tf long, positions array<int>"
 VERSION = 1
 
 
@@ -26,7 +31,7 @@ class Store:
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self._path(self.root))
         if not self.fs.exists(self._path(f"{self.root}/CURRENT")):
-            self._publish({"version": VERSION, "kbs": None, "jobs": None, "chunks": {}})
+            self._publish({"version": VERSION, "kbs": None, "jobs": None, "chunks": {}, "postings": {}})
 
     def state(self) -> dict:
         stream = self.fs.open(self._path(f"{self.root}/CURRENT"))
@@ -66,6 +71,13 @@ class Store:
         wanted = [p for k, p in paths.items() if kb_id in (None, k)]
         return self.spark.read.schema(CHUNK).parquet(*(f"{self.root}/{p}" for p in wanted)) if wanted else self._read(None, CHUNK)
 
+    def index(self) -> Index:
+        """All bases for a search: statistics are of all, whatever is searched. Ids are hashed to numbers there."""
+        paths = self.state()["postings"]
+        post = self.spark.read.schema(POSTING).parquet(*(f"{self.root}/{p}" for p in paths.values())) if paths else self._read(None, POSTING)
+        chunks = self.chunks().withColumn("key", F.col("id")).withColumn("id", F.xxhash64("id"))
+        return Index(chunks, post, bm25.doc_stats(chunks))
+
     def find(self, target: str) -> dict | None:
         """A base by id, else by name."""
         rows = [r.asDict() for r in self.kbs().filter((F.col("id") == target) | (F.col("name") == target)).limit(2).collect()]
@@ -74,14 +86,17 @@ class Store:
     def put(self, kb: dict, chunks: DataFrame | None = None) -> None:
         """Insert or replace a base and, if given, its chunks, in one step."""
         state = self.state()
-        old = state["chunks"].get(kb["id"])
+        old = state["chunks"].get(kb["id"]), state["postings"].get(kb["id"])
         if chunks is not None:
-            state["chunks"][kb["id"]] = self._write(chunks.select([x.split()[0] for x in CHUNK.split(", ")]), f"chunks/{kb['id']}")
+            at = state["chunks"][kb["id"]] = self._write(chunks.select([x.split()[0] for x in CHUNK.split(", ")]), f"chunks/{kb['id']}")
+            post = bm25.postings(self._read(at, CHUNK).withColumn("id", F.xxhash64("id")))
+            sorted_ = post.select([x.split()[0] for x in POSTING.split(", ")]).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+            state["postings"][kb["id"]] = self._write(sorted_, f"postings/{kb['id']}")
         row = self.spark.createDataFrame([tuple(kb.get(x.split()[0]) for x in KB.split(", "))], KB)
         rest = self._read(state["kbs"], KB).filter(F.col("id") != kb["id"])
         was, state["kbs"] = state["kbs"], self._write(rest.unionByName(row).coalesce(1), "kbs")
         self._publish(state)
-        self._drop(was, old if chunks is not None else None)
+        self._drop(was, *(old if chunks is not None else ()))
 
     def start_job(self, kb_id: str, operation: str, now: int) -> None:
         self.update_job(kb_id, reset=True, operation=operation, status="running", phase="scanning", started_at=now, last_progress_at=now)
@@ -102,17 +117,17 @@ class Store:
 
     def remove(self, kb_id: str) -> None:
         state = self.state()
-        gone = state["chunks"].pop(kb_id, None)
+        gone = state["chunks"].pop(kb_id, None), state["postings"].pop(kb_id, None)
         kbs, jobs = state["kbs"], state["jobs"]
         state["kbs"] = self._write(self._read(kbs, KB).filter(F.col("id") != kb_id).coalesce(1), "kbs")
         state["jobs"] = self._write(self._read(jobs, JOB).filter(F.col("kb_id") != kb_id).coalesce(1), "jobs")
         self._publish(state)
-        self._drop(kbs, jobs, gone)
+        self._drop(kbs, jobs, *gone)
 
     def clear(self) -> None:
         state = self.state()
-        self._publish({"version": VERSION, "kbs": None, "jobs": None, "chunks": {}})
-        self._drop(state["kbs"], state["jobs"], *state["chunks"].values())
+        self._publish({"version": VERSION, "kbs": None, "jobs": None, "chunks": {}, "postings": {}})
+        self._drop(state["kbs"], state["jobs"], *state["chunks"].values(), *state["postings"].values())
 
     def _drop(self, *paths: str | None) -> None:
         for p in paths:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakesearch import engine as e
+from lakesearch import engine as e, report
 from lakesearch.plans.search import Options
 from lakesearch.streaming import watch
 
@@ -95,13 +95,18 @@ def test_update_keeps_options_and_reports_failures(engine, tmp_path):
     write(root, {"dist/a.js": "export function kept() { return 'a built file that was asked for by its path'; }", "b.txt": "other " * 20})
     engine.add(str(root), "o", include_paths=["dist"])
     assert engine.update("o") == {"added": 0, "removed": 0, "unchanged": 2}
-    for p in root.rglob("*.*"):
-        p.unlink()
-    (root / "dist").rmdir()
-    root.rmdir()
+    write(root, {"b.txt": "changed " * 20})
+    engine.embedder = None
     with pytest.raises(Exception):
         engine.update("o")
     assert engine.show()[0]["status"] == "error" and engine.store.jobs().first().status == "failed"
+    assert engine.store.chunks().count() == 2  # the old chunks stay
+    (root / "b.txt").unlink()
+    (root / "dist" / "a.js").unlink()
+    (root / "dist").rmdir()
+    root.rmdir()
+    with pytest.raises(ValueError):
+        engine.update("o")
 
 
 def test_equal_files(engine, tmp_path):
@@ -156,6 +161,9 @@ def test_status_and_doctor(engine, tmp_path):
     engine.clock[0] += 15 * 60 * 1000
     assert engine.status().first().stuck
     assert {i["kind"] for i in engine.doctor()["issues"]} == {"stuck", "orphans", "skipped"}
+    told = engine.report()
+    assert "h: indexing, 2 chunks, 2 files" in told and "orphans: 1 files" in told and "Health: 0 stale, 1 orphans, 1 stuck" in told
+    assert "h (2 chunks, 2 files)" in engine.summary()
 
 
 def test_export_and_import(engine, tmp_path):
@@ -201,6 +209,19 @@ def test_search_many(engine):
     assert sorted((r.query_id, r.content.split()[0]) for r in rows) == [(0, "alpha"), (1, "beta")]
 
 
+def test_few_terms_are_pushed_down(engine):
+    engine.add("alpha beacons shine over the harbour at night, and ships find their way home", "one")
+    plan = engine.search_many(["harbour"], Options("fast"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "EqualTo(term,harbour)" in plan
+
+
+def test_texts():
+    assert [report.size(n) for n in (5, 2048, 3 << 20, 5 << 30)] == ["5 B", "2.0 KB", "3.0 MB", "5.00 GB"]
+    assert [report.duration(x) for x in (-1, 0, 1, 59_000, 60_000, 61_001, float("inf"))] == ["0s", "0s", "1s", "59s", "1m", "1m 2s", "0s"]
+    assert report.progress(100, 10_000, 5, 10, 2) == "5/10 files, 100 chunks, 10.0 chunks/s, elapsed 10s, file ETA 10s, skipped 2"
+    assert report.available([]) is None
+
+
 def test_debounce_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:01"), ("a", "2024-01-01 00:00:10")], "kb_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     table = sorted((r.kb_id, r.changes) for r in watch.debounce(rows).collect())
