@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER, fold_of, small_batches
+from .common import LOWER, UPPER, fold_of, materialize, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 #: Measures in thousandths of words, lines, letters or characters; each is a rule.
@@ -36,6 +36,8 @@ RULES = ("symbols", "repeats", "duplicates", "capitals", "exclamations", "long_w
 GRID = 1000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_FALSE_REJECTION, DELTA = 0.05, 0.05
+#: Strata whose cutoffs (seven values each) may be broadcast; beyond, rows meet them by an ordinary join.
+BROADCAST_STRATA = 20_000
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     + ", ".join(f"q_{r} int" for r in RULES)
@@ -162,7 +164,10 @@ def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", **risk:
     """Add base_failed and kept to rows (doc_id, measures, stratum, ...); labels: doc_id, quality (1 is good)."""
     good = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     teach = measured.select("doc_id", "measures", stratum).join(good.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"))
-    cuts = thresholds(teach, F.col(stratum), **risk)
+    cuts = materialize(thresholds(teach, F.col(stratum), **risk), "cutoffs")
+    # A stratum may hold most documents: they aren't shuffled by it where the cutoffs are few.
+    if cuts.count() <= BROADCAST_STRATA:
+        cuts = F.broadcast(cuts)
     m = F.col("measures")
     base = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words)
     hit = F.lit(False)
