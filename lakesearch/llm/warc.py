@@ -175,9 +175,9 @@ def _writer(folder: str):
                     n += 1
         if n:
             store.move(own, f"{root}/{name}")
+            yield pd.DataFrame({"archive": [name]})
         else:
             store.delete_file(own)
-        yield pd.DataFrame({"archive": [name] if n else []})
 
     return write
 
