@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat_format, decontamination, language_model, minhash_dedup, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, warc
-from .common import materialize, table
+from .common import LOWER, UPPER, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,27 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_sql() -> str:
+    words = lambda x: f"coalesce(regexp_extract_all(translate({x}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+    k = decontamination.WINDOW
+    return f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, {k} AS size, array_to_string(w[p : p + {k - 1}], ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, len(w) - {k - 2})) AS p FROM i WHERE len(w) >= {k})
+  UNION SELECT item, len(w), array_to_string(w, ' ') FROM i WHERE len(w) BETWEEN 1 AND {k - 1}
+), d AS (SELECT doc_id, row_number() OVER () AS r, {words("text")} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (SELECT r, size, p, array_to_string(w[p : p + size - 1], ' ') AS gram
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d JOIN sizes ON len(w) >= size)),
+hits AS (SELECT r, p, size, item FROM grams JOIN windows USING (size, gram)),
+covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS place FROM hits) GROUP BY r),
+seen AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN seen USING (r)"""
+
+
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,6 +52,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_sql() -> str:
+    base32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), h AS (SELECT page_id, strlen(body) AS n, sha1(body) AS hex FROM p),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS newest FROM h),
+r AS (SELECT *, CASE WHEN newest IS NOT NULL AND page_id IS DISTINCT FROM newest AND n >= {warc.MIN_PAYLOAD} THEN newest END AS refers_to FROM l)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr({base32}, 1 + CAST((CAST('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INT), 5) AS INT) >> CAST(5 * (3 - i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.digests(docs).select("doc_id", "coded.*")
@@ -151,4 +183,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": op5_sql(), "op7_url_filter": op7_sql()}
+    return {"op1_decontamination": op1_sql(), "op3_warc": op3_sql(), "op5_chat_format": op5_sql(), "op7_url_filter": op7_sql()}
