@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     return Model(slot, (weight * ratio[top]).astype(np.float32), bias + shift)
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; row i holds scale[j] for each j in rows[i]."""
     n, at = len(rows), np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
