@@ -154,22 +154,33 @@ def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tu
     yield block
 
 
-def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Add ``leak``: n_words, n_hit, spans (array of begin and end in words, flattened), items (sorted ids)."""
+LEAK = "n_words long, n_hit long, spans array<int>, items array<string>"
+
+
+def scan(
+    docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: bool = False,
+) -> DataFrame:
+    """Add ``leak``: n_words, n_hit, spans (array of begin and end in words, flattened), items (sorted ids) and,
+    if asked for, clean: the text without the spans, null where there are none."""
     spark = docs.sparkSession
     small_batches(spark)
     out = docs.withColumn("leak", F.lit(None).cast("struct<n_words:bigint,n_hit:bigint,spans:array<int>,items:array<string>>"))
-    for k, block in enumerate(blocks(items, block_words)):
-        if k:
+    found = blocks(items, block_words)
+    block, k = next(found), 0
+    while block is not None:
+        after = next(found, None)
+        out = _scan_block(spark, out, block, text, window, clean and after is None)
+        if after is not None:
             out = materialize(out, f"leak_{k}")  # one automaton in memory at a time
-        out = _scan_block(spark, out, block, text, window)
+        block, k = after, k + 1
     return out
 
 
-def _scan_block(spark, docs: DataFrame, block: list, text: str, window: int) -> DataFrame:
+def _scan_block(spark, docs: DataFrame, block: list, text: str, window: int, clean: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast(block)
+    names = ["n_words", "n_hit", "spans", "items", *(["clean"] if clean else [])]
 
-    @F.pandas_udf("n_words long, n_hit long, spans array<int>, items array<string>")
+    @F.pandas_udf(LEAK + (", clean string" if clean else ""))
     def leak(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         automaton = SuffixAutomaton(shared.value, window)
         for texts, before in batches:
@@ -181,10 +192,12 @@ def _scan_block(spark, docs: DataFrame, block: list, text: str, window: int) ->
                     spans = merged(spans + [(int(a), int(b)) for a, b in zip(spans0[::2], spans0[1::2])])
                 known = items | set(items0 if items0 is not None else ())
                 flat = np.array([y for s in spans for y in s], np.int32)
-                rows.append((len(words), sum(b - a for a, b in spans), flat, sorted(known - {None})))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items"])
+                row = (len(words), sum(b - a for a, b in spans), flat, sorted(known - {None}))
+                rows.append((*row, cut_spans(x, spans) if spans else None) if clean else row)
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.withColumn("leak", leak(F.col(text), F.col("leak")))
+    # So that a filter on the result doesn't make the optimizer compute it twice.
+    return docs.withColumn("leak", leak.asNondeterministic()(F.col(text), F.col("leak")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -216,15 +229,7 @@ def decontaminate(
 ) -> DataFrame:
     """Drop documents with more than max_items items or more than max_coverage of their words in spans;
     cut the spans out of the others. Documents without a hit stay as they are."""
-    seen = scan(docs, items, text, window)
+    seen = scan(docs, items, text, window, clean=True)
     leak = F.col("leak")
     kept = (F.size(leak["items"]) <= max_items) & (leak.n_hit <= max_coverage * leak.n_words)
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([
-            x if x is None or s is None or not len(s) else cut_spans(x, list(zip(map(int, s[::2]), map(int, s[1::2]))))
-            for x, s in zip(texts, spans)
-        ], dtype=object)
-
-    return seen.filter(kept).withColumn(text, F.when(leak.n_hit > 0, clean(F.col(text), leak.spans)).otherwise(F.col(text)))
+    return seen.filter(kept).withColumn(text, F.when(leak.n_hit > 0, leak.clean).otherwise(F.col(text)))
