@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import small_batches
 
 BLANK = "▁"
-#: Parts and neighbour pairs that a worker keeps; when full, a cache starts anew.
-CACHE_PARTS, CACHE_PAIRS, CACHED_CHARS = 500_000, 1_000_000, 64
+#: Parts and neighbour pairs that a worker keeps (about 90 MB); when full, a cache starts anew.
+CACHE_PARTS, CACHE_PAIRS, CACHED_CHARS = 250_000, 400_000, 64
 #: A part may end before one of these.
 SIGNS = ".,!*$%&#|"
 
@@ -284,6 +284,22 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model_file: st
     return docs.withColumn(out, ids(F.col(text)))
 
 
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", model_file: str | None = None) -> DataFrame:
+    """Add the ids of the whole text and the text that they decode to, in one pass of one worker a task."""
+    model = model_file or public_model()
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(model)
+        for s in batches:
+            coded = [c.encode(x or "") for x in s]
+            yield pd.DataFrame({"ids": pd.Series(coded, dtype=object), "decoded": pd.Series([c.decode(x) for x in coded], dtype=object)})
+
+    made = docs.withColumn("_both", both.asNondeterministic()(F.col(text)))
+    return made.withColumn(ids, F.col("_both.ids")).withColumn(decoded, F.col("_both.decoded")).drop("_both")
+
+
 def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model_file: str | None = None) -> DataFrame:
     """Add the column ``out`` with the text of an array of ids; a null array gives the empty text."""
     model = model_file or public_model()
