@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.decode(sentencepiece_codec.encode(docs), out="decoded")
+    return sentencepiece_codec.round_trip(docs)
 
 
 STAGES = [
