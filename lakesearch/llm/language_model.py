@@ -47,6 +47,8 @@ BEGIN, FIRST_BIN = 0, 1 + SINGLES
 CLASSES = FIRST_BIN + BINS
 WIDTH, NOISE, BATCH, RATE = 24, 24, 4096, 0.15
 FLUSH = 100_000
+#: Parameters of so many partitions are added up in one task; the driver gets COLLECT sums at most.
+FAN_IN, COLLECT = 32, 64
 
 
 def bin_of(token: bytes) -> int:
@@ -219,11 +221,14 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = 1) -> LogBilinear:
     sc = texts.sparkSession.sparkContext
     known = sc.broadcast({t: e for t, e in vocab.known.items() if e[0] < FIRST_BIN})
     names = ["r", "out", "c", "bias"]
-    # Partitions of a file scan are too many to average at once: their sums are formed on the way.
+    # Partitions of a file scan are too many to average at once: sums are formed in a tree, FAN_IN at a time.
+    partitions = texts.rdd.getNumPartitions()
     for turn in range(rounds):
         start, counts = sc.broadcast(model), vocab.class_counts
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
             trainer = Trainer(start.value, counts, 1 + turn)
             seen = 0
             for b in batches:
@@ -240,15 +245,19 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = 1) -> LogBilinear:
                     seen += len(w)
                     i = j
             if seen:
-                row = {"slot": [seen % 64], "seen": [float(seen)]}
+                row = {"slot": [TaskContext.get().partitionId() // FAN_IN], "seen": [float(seen)]}
                 yield pd.DataFrame(row | {n: [(x.astype(np.float64) * seen).tobytes()] for n, x in zip(names, trainer.m.parts())})
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
-            row = {"slot": [0], "seen": [rows["seen"].sum()]}
+            row = {"slot": [rows["slot"].iloc[0]], "seen": [rows["seen"].sum()]}
             return pd.DataFrame(row | {n: [sum(np.frombuffer(x) for x in rows[n]).tobytes()] for n in names})
 
         schema = "slot int, seen double, " + ", ".join(f"{n} binary" for n in names)
-        parts = texts.mapInPandas(run, schema).groupBy("slot").applyInPandas(add, schema).collect()  # 64 rows at most
+        sums, left = texts.mapInPandas(run, schema).groupBy("slot").applyInPandas(add, schema), math.ceil(partitions / FAN_IN)
+        while left > COLLECT:
+            sums = sums.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int")).groupBy("slot").applyInPandas(add, schema)
+            left = math.ceil(left / FAN_IN)
+        parts = sums.collect()  # COLLECT rows at most
         seen = sum(p.seen for p in parts)
         if not seen:
             break

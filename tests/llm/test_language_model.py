@@ -74,6 +74,17 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(of_class[used], 1)
 
 
+def test_parameters_are_summed_in_a_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(t,) for _, t in rows()], "text string").repartition(9)
+    docs = lm.materialize(docs, "texts")
+    vocab = lm.vocabulary(lm.materialize(lm.count_tokens(docs), "counts"))
+    flat = lm.train(docs, vocab)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    monkeypatch.setattr(lm, "COLLECT", 1)
+    for x, y in zip(flat.parts(), lm.train(docs, vocab).parts()):
+        assert np.allclose(x, y, atol=1e-6)
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(i, "a b") for i in range(100) if held(i)], "doc_id long, text string")
     got = lm.learn_and_score(docs).collect()
