@@ -229,7 +229,7 @@ _TOP = "SELECT query_id, id, kb_id, round(score, 6) AS score, rank FROM (SELECT
 
 
 def _lexical(spark, d, mode, scope=None):
-    made = plans.Index.of(chunks(spark, d))
+    made = plans.Index.of(chunks(spark, d)).stored()
     return bm25.bm25(made.postings, made.stats, items(spark, d), mode, scope).withColumn("score", r6("score"))
 
 
@@ -454,7 +454,7 @@ def _searched(mode, **more):
         c = chunks(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
         e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
         q = items(spark, d).select("query_id", "raw").join(e, "query_id")
-        return plans.search(plans.Index.of(c), q, plans.Options(mode=mode, **more)).select("query_id", "position", "total", "id", "kb_id", "file_path", r6("score").alias("score"), "snippet")
+        return plans.search(plans.Index.of(c).stored(), q, plans.Options(mode=mode, **more)).select("query_id", "position", "total", "id", "kb_id", "file_path", r6("score").alias("score"), "snippet")
 
     run.__name__ = f"search_{mode}"
     return run
