@@ -11,8 +11,11 @@ base. Sums over the known tokens and one unseen token are 1.
 
 Model. With the classes a, b of the two tokens before (a begin class at the start), the prediction is
 q = C1 * r[a] + C2 * r[b], and class w has the score q . R[w] + bias[w]. Training is one pass over all
-training texts: each partition runs AdaGrad steps on batches with shared noise classes (unigram
-noise-contrastive estimation), and the partitions' parameters are averaged by their tokens.
+training texts, whose classes are written once and dealt into shards of about ``SHARD`` tokens, however
+the texts are partitioned. A turn trains some shards side by side from the model and AdaGrad state of the
+turn before (batches with shared noise classes, unigram noise-contrastive estimation) and averages both
+by tokens. About as many turns follow each other as shards run in one, and more beyond ``ABREAST`` shards
+a turn, so the steps in a row grow with the training tokens.
 
 Scoring. The score is a sum over the two context places, so two matrix products of all classes give
 tables M1 and M2, and one product of their exponentials gives the exact normaliser of all pairs of
@@ -29,6 +32,7 @@ empty text for the fold. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +42,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold_of, materialize, small_batches, space_words
+from .common import fold_of, materialize, release, scratch, small_batches, space_words
 
 END = b""
 SINGLES, BINS, TOP = 768, 255, 32_768
@@ -49,6 +53,8 @@ WIDTH, NOISE, BATCH, RATE = 24, 24, 4096, 0.15
 FLUSH = 100_000
 #: Parameters of so many partitions are added up in one task; the driver gets COLLECT sums at most.
 FAN_IN, COLLECT = 32, 64
+#: Training tokens of a shard, and the most shards of a turn.
+SHARD, ABREAST = 4_000_000, 64
 
 
 def bin_of(token: bytes) -> int:
@@ -172,16 +178,21 @@ def initial(class_counts: np.ndarray, seed: int = 11) -> LogBilinear:
     return LogBilinear(r, np.zeros((CLASSES, WIDTH), np.float32), np.ones((2, WIDTH), np.float32), np.log(p).astype(np.float32))
 
 
+def fresh(model: LogBilinear) -> list[np.ndarray]:
+    """AdaGrad's state before the first step."""
+    return [np.full(x.shape, 1e-2, np.float32) for x in model.parts()]
+
+
 class Trainer:
     """AdaGrad on the noise-contrastive objective; NOISE noise classes are shared by a batch."""
 
-    def __init__(self, model: LogBilinear, class_counts: np.ndarray, seed: int):
+    def __init__(self, model: LogBilinear, class_counts: np.ndarray, seed: int | list[int], state: list[np.ndarray] | None = None):
         self.m = LogBilinear(*(x.copy() for x in model.parts()))
         p = (class_counts + 1) / (class_counts + 1).sum()
         self.log_kp = np.log(NOISE * p).astype(np.float32)
         self.cdf = np.cumsum(p)
         self.rng = np.random.default_rng(seed)
-        self.h = [np.full(x.shape, 1e-2, np.float32) for x in model.parts()]
+        self.h = [x.copy() for x in state or fresh(model)]
 
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         m, n = self.m, len(w)
@@ -215,57 +226,92 @@ def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     to[k[first]] += np.add.reduceat(rows[order], first, 0)
 
 
+def encode(texts: DataFrame, vocab: Vocabulary, shards: int, turns: int) -> DataFrame:
+    """Write the classes of all texts in slices of a megabyte of text: (shard, part, at, codes), by turn."""
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast({t: e for t, e in vocab.known.items() if e[0] < FIRST_BIN})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+
+        def row(slice_: list[str | None]) -> pd.DataFrame:
+            codes = classes_of(slice_, known.value)[0].astype(np.uint16).tobytes()
+            shard = zlib.crc32(f"{part}:{at}".encode()) % shards
+            return pd.DataFrame({"turn": [shard % turns], "shard": [shard], "part": [part], "at": [at], "codes": [codes]})
+
+        kept: list[str | None] = []
+        size = 0
+        for b in batches:
+            for x in b["text"]:
+                kept.append(x)
+                size += len(x or "") + 1
+                if size >= 1 << 20:
+                    yield row(kept)
+                    kept, size, at = [], 0, at + 1
+        if kept:
+            yield row(kept)
+
+    schema = "turn int, shard int, part int, at int, codes binary"
+    path = scratch(spark, "lm_codes")
+    texts.mapInPandas(run, schema).repartition(shards, "shard").write.partitionBy("turn").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.lakesearch_path = path
+    return out
+
+
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = 1) -> LogBilinear:
-    """One pass per round over all texts; a partition returns its parameters (about 200 kB)."""
+    """Rounds over all texts, each in turns; a shard returns its parameters and AdaGrad state (about 800 kB)."""
     model = initial(vocab.class_counts)
     sc = texts.sparkSession.sparkContext
-    known = sc.broadcast({t: e for t, e in vocab.known.items() if e[0] < FIRST_BIN})
-    names = ["r", "out", "c", "bias"]
-    # Partitions of a file scan are too many to average at once: sums are formed in a tree, FAN_IN at a time.
-    partitions = texts.rdd.getNumPartitions()
-    for turn in range(rounds):
-        start, counts = sc.broadcast(model), vocab.class_counts
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyspark import TaskContext
-
-            trainer = Trainer(start.value, counts, 1 + turn)
-            seen = 0
-            for b in batches:
-                texts_, i = list(b["text"]), 0
-                while i < len(texts_):
-                    j, size = i, 0
-                    while j < len(texts_) and size < 1 << 20:
-                        size += len(texts_[j] or "")
-                        j += 1
-                    flat, sizes, _ = classes_of(texts_[i:j], known.value)
-                    a, c, w = contexts(flat, sizes)
-                    for k in range(0, len(w), BATCH):
-                        trainer.step(a[k : k + BATCH], c[k : k + BATCH], w[k : k + BATCH])
-                    seen += len(w)
-                    i = j
-            if seen:
-                row = {"slot": [TaskContext.get().partitionId() // FAN_IN], "seen": [float(seen)]}
-                yield pd.DataFrame(row | {n: [(x.astype(np.float64) * seen).tobytes()] for n, x in zip(names, trainer.m.parts())})
+    names = ["r", "out", "c", "bias", "h_r", "h_out", "h_c", "h_bias"]
+    shards = math.ceil(vocab.total / SHARD)
+    if not shards:
+        return model
+    turns = math.ceil(shards / min(ABREAST, math.ceil(math.sqrt(shards))))
+    codes = encode(texts, vocab, shards, turns)
+    state, counts = fresh(model), vocab.class_counts
+    for nth in range(rounds * turns):
+        start = sc.broadcast((model, state))
+
+        def run(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
+            trainer = Trainer(start.value[0], counts, [1 + nth, key[0]], start.value[1])
+            rows, seen = rows.sort_values(["part", "at"]), 0
+            for x in rows["codes"]:
+                flat = np.frombuffer(x, np.uint16).astype(np.int32)
+                at = np.flatnonzero(flat != BEGIN)  # no token is of the begin class
+                a, c, w = flat[at - 2], flat[at - 1], flat[at]
+                for k in range(0, len(w), BATCH):
+                    trainer.step(a[k : k + BATCH], c[k : k + BATCH], w[k : k + BATCH])
+                seen += len(w)
+            row = {"slot": [key[0] // turns // FAN_IN], "seen": [float(seen)]}
+            found = zip(names, [*trainer.m.parts(), *trainer.h])
+            return pd.DataFrame(row | {n: [(x.astype(np.float64) * seen).tobytes()] for n, x in found})
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             row = {"slot": [rows["slot"].iloc[0]], "seen": [rows["seen"].sum()]}
             return pd.DataFrame(row | {n: [sum(np.frombuffer(x) for x in rows[n]).tobytes()] for n in names})
 
         schema = "slot int, seen double, " + ", ".join(f"{n} binary" for n in names)
-        sums, left = texts.mapInPandas(run, schema).groupBy("slot").applyInPandas(add, schema), math.ceil(partitions / FAN_IN)
+        left = math.ceil(shards / turns)
+        # So many partitions by number, as small ones by size would be merged into one task.
+        own = codes.filter(F.col("turn") == nth % turns).drop("turn").repartition(left, "shard")
+        sums = own.groupBy("shard").applyInPandas(run, schema)
+        sums, left = sums.groupBy("slot").applyInPandas(add, schema), math.ceil(left / FAN_IN)
         while left > COLLECT:
             sums = sums.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int")).groupBy("slot").applyInPandas(add, schema)
             left = math.ceil(left / FAN_IN)
         parts = sums.collect()  # COLLECT rows at most
+        start.unpersist()
         seen = sum(p.seen for p in parts)
         if not seen:
-            break
-        shapes = [x.shape for x in model.parts()]
-        parts.sort(key=lambda p: p.seen)
-        model = LogBilinear(*(
-            (sum(np.frombuffer(p[n]) for p in parts) / seen).reshape(s).astype(np.float32) for n, s in zip(names, shapes)
-        ))
+            continue
+        shapes = [x.shape for x in [*model.parts(), *state]]
+        parts.sort(key=lambda p: p.slot)
+        mean = [(sum(np.frombuffer(p[n]) for p in parts) / seen).reshape(s).astype(np.float32) for n, s in zip(names, shapes)]
+        model, state = LogBilinear(*mean[:4]), mean[4:]
+    release(codes)
     return model
 
 

@@ -90,3 +90,33 @@ def test_nothing_to_learn(spark):
     got = lm.learn_and_score(docs).collect()
     assert got and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and r.score < 0 for r in got)
     assert lm.learn_and_score(docs.limit(0)).count() == 0
+
+
+def chain(n, seed):
+    """Texts in which a word is followed by one of two words."""
+    rng = random.Random(seed)
+    for _ in range(n):
+        k, out = rng.randrange(50), []
+        for _ in range(400):
+            out.append(f"w{k}")
+            k = (7 * k + rng.randrange(2)) % 50
+        yield " ".join(out)
+
+
+def held_out_mean(spark, parts):
+    docs = lm.materialize(spark.createDataFrame([(t,) for t in chain(1000, 5)], "text string").repartition(parts), "texts")
+    vocab = lm.vocabulary(lm.materialize(lm.count_tokens(docs), "counts"))
+    flat, sizes, _ = lm.classes_of(list(chain(50, 6)), vocab.known)
+    a, b, w = lm.contexts(flat, sizes)
+    start, trained = ((m1[a, w] + m2[b, w] - z[a, b]).mean() for m1, m2, z in (m.tables() for m in (lm.initial(vocab.class_counts), lm.train(docs, vocab))))
+    return trained - start
+
+
+def test_learning_does_not_shrink_with_the_partitions(spark):
+    one, many = held_out_mean(spark, 1), held_out_mean(spark, 64)
+    assert one > 0.2 and many > 0.9 * one
+
+
+def test_turns_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 45_000)  # nine shards: three turns of three
+    assert held_out_mean(spark, 64) > 0.2
