@@ -68,3 +68,23 @@ def test_judge(spark):
             assert r.kept == (r.doc_id % 4 != 0) and not r.base_failed, r
     assert qr.judge(measured.limit(0), labels).count() == 0
     assert qr.judge(measured, labels.limit(0)).filter("kept").count() == 8001
+
+
+def test_small_strata_are_certified(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    bad = " ".join(f"word{i}***" for i in range(60))
+    loud = " ".join(f"WORD{i}!!" for i in range(60))
+    rows = [(i, (bad, loud, good, good, good, good)[i // 4 % 6], "abcd"[i % 4]) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i // 4 % 6 > 1)) for i, _, _ in rows], "doc_id long, quality int")
+    got = qr.judge(qr.measures(docs).drop("text"), labels).collect()
+    assert len(got) == 1600 and all(r.kept == (r.doc_id // 4 % 6 > 1) for r in got)
+    few = qr.judge(qr.measures(docs).drop("text"), labels.filter("doc_id < 400")).collect()
+    assert all(r.kept for r in few)  # fewer than 86 good holdout labels a stratum
+
+
+def test_the_rules_share_one_bound():
+    steps = [0, 2, 0, 3, 0]
+    assert qr.certify(qr.np.array(steps), 200, 0.05, 0.05) == 3
+    assert qr.upper_bound(2, 200, 0.05) <= 0.05 < qr.upper_bound(5, 200, 0.05)
+    assert qr.certify(qr.np.array([0]), 85, 0.05, 0.0125) == 0 and qr.certify(qr.np.array([0]), 86, 0.05, 0.0125) == 1
