@@ -8,9 +8,12 @@ and carries no driver state.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -49,15 +52,57 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts: the default of 10,000 rows has no bound in bytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+#: Rows and bytes of an Arrow batch of whole texts; a batch holds one row at least.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Of equal share: a key with more than one of so many parts of the rows is hot. Tables of few rows have none.
+HOT_PARTS, FEW_ROWS = 1000, 20_000
+_scopes: list[list[str]] = []
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of whole texts in rows and bytes. Spark has only a session's setting for that; a
+    session with smaller bounds keeps them."""
+    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        size = int(spark.conf.get(key).lower().rstrip("b"))
+        if not 0 < size <= bound:
+            spark.conf.set(key, bound)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lakesearch/{uuid.uuid4().hex}/{tag}"
+    root = f"{shared_dir(spark)}/lakesearch/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(root)
+    return f"{root}/{tag}"
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete every table that is written inside, but for those of ``kept``, at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """Let a table of ``materialize`` outlive the innermost ``passing``."""
+    if _scopes:
+        root = table.lakesearch_path.rpartition("/")[0]
+        _scopes[-1].remove(root)
+        if len(_scopes) > 1:
+            _scopes[-2].append(root)
+    return table
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -76,6 +121,34 @@ def release(*tables: DataFrame) -> None:
             drop_path(table.sparkSession, path)
 
 
+def spread_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", salt: tuple[str, ...] = (), counts: DataFrame | None = None
+) -> DataFrame:
+    """Equi join with a right side of one row a key, in which the left rows of a hot key share no task.
+
+    A key is hot with more than one of ``HOT_PARTS`` parts of the left rows, so there are fewer than
+    HOT_PARTS such keys whatever the data, and these and their sizes may come to the driver. The rows of a
+    hot key are dealt into as many parts as it has such shares by a hash of the columns ``salt`` (all by
+    default); its right row is repeated for each part, which makes HOT_PARTS rows more at most in all.
+    counts: (key, n) of the left rows, if known; else left is to be a written table, as it is read twice.
+    """
+    if (total := left.count() if counts is None else (counts.agg(F.sum("n")).first()[0] or 0)) <= FEW_ROWS:
+        return left.join(right, key, how)
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.filter((F.col("n") * HOT_PARTS > total) & F.col(key).isNotNull()).select(key, "n").collect()
+    if not hot:
+        return left.join(right, key, how)
+    parts, place = spare(left.join(right.limit(0), key), "parts"), spare(left.join(right.limit(0), key), "place")
+    kind = left.schema[key].dataType.simpleString()
+    sizes = F.broadcast(
+        left.sparkSession.createDataFrame([(r[0], math.ceil(r[1] * HOT_PARTS / total)) for r in hot], f"`{key}` {kind}, `{parts}` int")
+    )
+    n = F.coalesce(parts, F.lit(1))
+    dealt = left.join(sizes, key, "left").withColumn(place, F.pmod(F.xxhash64(*(salt or left.columns)), n)).drop(parts)
+    copies = right.join(sizes, key, "left").withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))).drop(parts)
+    return dealt.join(copies, [key, place], how).drop(place)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

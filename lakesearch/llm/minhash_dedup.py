@@ -13,11 +13,13 @@
 4. Candidates are taken in rounds so that no group is expanded into pairs. In the first ``STARS`` rounds
    the members of a band bucket meet one center, another in each round. Components are formed from the
    verified links, and a bucket whose members are all in one component is closed. The last round makes
-   the search exact: the members of open buckets outside the largest component meet all members of other
-   components with which they share a band, block against block, within tasks that hold the full sets
-   and emit verified links only. A large group of copies closes in the first rounds; the last compares
+   the search exact: the members of open buckets outside the bucket's main component meet all members of
+   other components with which they share a band, block against block. Tasks first compare signatures and
+   name the documents with a partner that passes; only these are met again with their full sets, in tasks
+   that emit verified links only. A large group of copies closes in the first rounds; the last compares
    what really differs. No cap applies: a group of any size is dealt into blocks (``BLOCK`` documents or
-   ``BLOCK_SHINGLES`` shingles on average), each pair of blocks for a task of its own.
+   ``BLOCK_SHINGLES`` shingles on average), each pair of blocks for a task of its own. Joins by band, center
+   or component deal the rows of a hot key to several tasks.
 
 Shingle hashes are 64-bit words, built from two mixed polynomial hashes of the words; set sizes and
 intersections are exact but for collisions among them (about n^2 / 2^65 in a set of n).
@@ -25,7 +27,8 @@ intersections are exact but for collisions among them (about n^2 / 2^65 in a set
 Edge cases: null and empty texts and texts without words have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle. Rows with a null id are components of their own.
 A repeated id is one document here if its rows have equal texts; with different texts, its rows are
-linked through the id. Extra columns are kept.
+linked through the id. Extra columns are kept, whatever their names. Ids have to be of an integer type;
+another type raises TypeError before anything runs.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import materialize, mix64, release, small_batches
+from .common import materialize, mix64, release, small_batches, spare, spread_join
 from .components import components
 
 HASHES, BATCH, MISS = 128, 16, 1e-6
@@ -203,14 +206,14 @@ def similar(p: bytes, q: bytes, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union on the full sets.
+    """Of pairs (a, b), those with 100 * intersection >= percent * union on the full sets. b may be a hub.
 
     Only the documents in a pair are read again; each pair meets its two sets by two equi joins.
     """
     of = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k, tag)
-    both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(
-        of.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b"
-    )
+    one = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    both = spread_join(one, of.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b", salt=("a",), counts=hubs)
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -223,6 +226,9 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) ->
 
 def cluster(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """docs: (doc_id, text). Returns (doc_id, n_shingles, component_id), a row for each row of docs."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("near-duplicate groups are named by their smallest doc_id, which has to be an integer")
+    docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
     threshold = percent / 100
     bands, rows = plan_bands(threshold, HASHES, miss)
@@ -242,34 +248,47 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS)
     label = components(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
     member = heads.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = materialize(member.join(shared.select("key"), "key").distinct(), "buckets")
+    shared = materialize(member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    buckets = materialize(spread_join(member, shared, "key", salt=("id",), counts=shared).select("id", "key"), "buckets")
+    release(shared)
     tried: DataFrame | None = None
+    done: list[DataFrame] = []
     for r in range(STARS + 1):
-        last = r == STARS
         at = buckets.join(label.select(F.col("node").alias("id"), "component"), "id", "left")
         placed = materialize(at.withColumn("component", F.coalesce("component", "id")), "placed")
         # Buckets with more than one component, with a center that differs from round to round.
-        center = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(r)) if r else F.col("id"))
+        order = F.xxhash64("id", F.lit(r)) if r else F.col("id")
         split = placed.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), center.alias("center"), F.count("*").alias("n")
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+            F.min_by("id", order).alias("center"), F.min_by("component", order).alias("own"),
         ).filter("low <> high and n > 2" if r else "low <> high")
-        if last:
-            links = across(placed.join(split.select("key"), "key"), heads, docs, k, percent, miss)
+        split = materialize(split.select("key", "n", "center", "own"), "split")
+        met = spread_join(placed, split.drop("n"), "key", salt=("id",), counts=split)
+        if r == STARS:
+            opened = materialize(met.select("id", "component", "key"), "opened")
+            links = across(opened, heads, docs, k, percent, miss)
+            release(opened)
         else:
-            met = placed.join(split.select("key", "center"), "key").filter("component <> center.component")
-            pairs = met.select(F.greatest("id", "center.id").alias("a"), F.least("id", "center.id").alias("b")).distinct()
-            passed = posterior(pairs, small, percent, threshold, miss).distinct()
-            passed = materialize(passed if tried is None else passed.join(tried, ["a", "b"], "left_anti"), f"pairs_{r}")
+            pairs = met.filter("component <> own").select(F.col("id").alias("a"), F.col("center").alias("b"))
+            pairs = materialize(pairs.distinct(), "met")
+            passed = posterior(pairs, small, percent, threshold, miss)
+            ends = [F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")]
+            if tried is not None:
+                passed = passed.select("a", "b", *ends).join(tried.select(*ends), ["high", "low"], "left_anti").select("a", "b")
+            passed = materialize(passed, f"pairs_{r}")
             links = verify(passed, docs, k, percent, str(r))
             tried = passed if tried is None else tried.unionByName(passed)
+            done.append(passed)
+            release(pairs)
         if not links.isEmpty():
             known = label.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            label = components(links.unionByName(known))
-        release(placed)
-    release(buckets)
+            was, label = label, components(links.unionByName(known))
+            release(was)
+        release(placed, split, links)
+    release(buckets, heads, *done)
     of_class = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(of_class.select(*fp, F.coalesce("component", "rep").alias("component_id")), "component_of_class")
+    release(reps, label)
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return profile.join(classes, fp, "left").select(
         "doc_id", "n_shingles", F.when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
@@ -277,10 +296,12 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS)
 
 
 def posterior(pairs: DataFrame, heads: DataFrame, percent: int, threshold: float, miss: float) -> DataFrame:
-    """Pairs (a, b) whose set sizes allow the similarity and whose signatures pass the batches."""
+    """Pairs (a, b) whose set sizes allow the similarity and whose signatures pass the batches. b may be a hub."""
     x = heads.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("sig").alias("x"))
     y = heads.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("sig").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").filter(F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n)"))
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    both = spread_join(pairs.join(x, "a"), y, "b", salt=("a",), counts=hubs)
+    both = both.filter(F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n)"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -288,29 +309,55 @@ def posterior(pairs: DataFrame, heads: DataFrame, percent: int, threshold: float
                 s, t = (np.frombuffer(b"".join(b[c]), np.uint32).reshape(len(b), -1) for c in ("x", "y"))
                 yield b.iloc[survive(s, t, threshold, miss)][["a", "b"]]
 
-    return both.select("a", "b", "x", "y").mapInPandas(test, "a long, b long")
+    # An id with several sets may pass more than once.
+    return both.select("a", "b", "x", "y").mapInPandas(test, "a long, b long").distinct()
+
+
+def partners(rows: pd.DataFrame, percent: int, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of two blocks of documents: each row of the outer one (``out``) with the rows of the other that share a
+    band, are of another component, and whose sizes and signatures allow the similarity."""
+    comp, size, out = (rows[c].to_numpy() for c in ("component", "n_shingles", "out"))
+    left, right = np.flatnonzero(out), np.flatnonzero(~out)
+    if not len(left) or not len(right):
+        return
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
+    keys = np.stack(rows["keys"])
+    flat = keys[right].ravel()
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], right[order // keys.shape[1]]
+    for i in left:
+        lo, hi = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
+        j = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]))
+        j = j[comp[j] != comp[i]]
+        j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+        if len(j):
+            j = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], percent / 100, miss)]
+        if len(j):
+            yield i, j
 
 
 def across(opened: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
-    """Links across components in open buckets. opened: (key, id, component).
+    """Links across components in open buckets. opened: (key, id, component), a written table.
 
-    Buckets with the same largest component form a group, in which the documents outside that component
-    meet all others. Both sides are dealt into blocks by the number of documents and of shingles; a task
-    holds the full sets of one block of either side, takes the pairs that share a band, and emits
-    verified links only, one for a document and a component at most.
+    The main component of a bucket is the one with most of its members. Buckets with the same main
+    component form a group, in which the documents outside it meet all others. Both sides are dealt into
+    blocks by the number of documents and of shingles, a task for each pair of blocks. It gets signatures
+    and band keys first; full sets come only to the tasks and documents with a partner that passes.
     """
-    threshold = percent / 100
-    size = opened.select("id", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
-    main = opened.join(size, "component").groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    rows = materialize(opened.join(main, "key").select("main", "id", "component").distinct(), "open")
+    per = opened.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    main = materialize(main, "main")
+    met = spread_join(opened, main.drop("n"), "key", salt=("id",), counts=main)
+    rows = materialize(met.select("main", "id", "component").distinct(), "open")
     narrow = heads.select(F.col("doc_id").alias("id"), "n_shingles")
     outside = F.col("component") != F.col("main")
     parts = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES)).cast("int")
     dims = rows.join(narrow, "id").groupBy("main").agg(
-        parts(F.count("*"), F.sum("n_shingles")).alias("parts"),
+        parts(F.count("*"), F.sum("n_shingles")).alias("parts"), F.count("*").alias("n"),
         parts(F.count_if(outside), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("out_parts"),
     )
-    dealt = rows.join(dims, "main")
+    dims = materialize(dims, "dims")
+    dealt = spread_join(rows, dims.drop("n"), "main", salt=("id",), counts=dims)
     row = ["main", "id", "component"]
     every = dealt.select(
         *row, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("out_parts") - 1)).alias("p"),
@@ -320,45 +367,41 @@ def across(opened: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent
         *row, F.lit(True).alias("out"), F.pmod(F.xxhash64("id", F.lit(1)), "out_parts").cast("int").alias("p"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"),
     )
-    of = full_sets(docs, rows.select(F.col("id").alias("doc_id")), k, "open")
     head = heads.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "keys")
-    filled = every.unionByName(outer).join(head, "id").join(of.withColumnRenamed("doc_id", "id"), "id")
+    place = ["main", "p", "q"]
+
+    def name(rows: pd.DataFrame) -> pd.DataFrame:
+        found: set[int] = set()
+        for i, j in partners(rows, percent, miss):
+            found.add(i)
+            found.update(j)
+        return rows.iloc[sorted(found)][[*place, "id", "component", "out"]]
+
+    schema = "main long, p int, q int, id long, component long, out boolean"
+    named = materialize(every.unionByName(outer).join(head, "id").groupBy(*place).applyInPandas(name, schema).distinct(), "named")
+    of = full_sets(docs, named.select(F.col("id").alias("doc_id")), k, "open")
+    filled = named.join(head, "id").join(of.withColumnRenamed("doc_id", "id"), "id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, size, out = (rows[c].to_numpy() for c in ("id", "component", "n_shingles", "out"))
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
-        keys, sets = np.stack(rows["keys"]), rows["set"].to_numpy()
-        left, right = np.flatnonzero(out), np.flatnonzero(~out)
+        ids, comp, sets = (rows[c].to_numpy() for c in ("id", "component", "set"))
         found = []
-        if len(left) and len(right):
-            flat = keys[right].ravel()
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], right[order // keys.shape[1]]
-            for i in left:
-                lo, hi = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
-                j = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]))
-                j = j[comp[j] != comp[i]]
-                j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-                if not len(j):
-                    continue
-                ok = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], threshold, miss)]
-                linked: set[int] = set()
-                for x in ok:
-                    if comp[x] not in linked and similar(sets[i], sets[x], percent):
-                        linked.add(comp[x])
-                        found.append((ids[i], ids[x]))
+        for i, j in partners(rows, percent, miss):
+            linked: set[int] = set()
+            for x in j:
+                if comp[x] not in linked and similar(sets[i], sets[x], percent):
+                    linked.add(comp[x])
+                    found.append((ids[i], ids[x]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    links = materialize(filled.groupBy("main", "p", "q").applyInPandas(compare, "a long, b long"), "links_open")
-    release(of, rows)
+    links = materialize(filled.groupBy(*place).applyInPandas(compare, "a long, b long"), "links_open")
+    release(of, named, rows, dims, main)
     return links
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group stays: the one with the smallest doc_id; rows without id or words all stay."""
-    found = cluster(docs, k, percent)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    numbered = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return docs.filter("doc_id is null").unionByName(
-        numbered.filter("doc_id is not null and _row = 1").drop("_row").join(keep, "doc_id", "left_semi").select(*docs.columns)
-    )
+    keep = cluster(docs, k, percent).filter("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    nth = spare(docs, "nth")
+    numbered = docs.filter(~alone).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return docs.filter(alone).unionByName(numbered.filter(F.col(nth) == 1).join(keep, "doc_id", "left_semi").select(*docs.columns))
