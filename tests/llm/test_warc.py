@@ -44,3 +44,49 @@ def test_round_trip(spark):
     assert order == sorted(order)
     assert len({(r.archive, r.offset) for r in got}) == len(got)
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_histories_of_a_url(spark, monkeypatch, tmp_path):
+    """Several captures of a URL at several times, in archives and runs of a few rows, with runs moved to files."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(warc, "RUN_ROWS", 7)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 60)
+    rng = random.Random(5)
+    rows = [(i, f"http://a.com/{rng.randrange(3)}", f"body {rng.randrange(40)}", f"20{rng.randrange(10, 24)}-01-0{rng.randrange(1, 9)}T00:00:00Z") for i in range(500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").repartition(3)
+    folder = str(tmp_path / "archives")
+    warc.write_archives(df, folder, F.col("at"))
+    names = [p.name for p in (tmp_path / "archives").iterdir()]
+    assert len(names) > 3 and all(n.startswith("part-") for n in names)
+    captures = warc.materialize(warc.read_archives(spark, folder), "captures")
+    for held in (1, warc.HELD_BYTES):
+        got = warc.merge_index(captures, held=held).collect()
+        want = sorted((warc.url_key(u), t, i) for i, u, _, t in rows)
+        assert [(r.urlkey, r.timestamp, r.page_id) for r in got] == want
+    # A repeated task leaves no archive of an attempt before.
+    (tmp_path / "archives" / "part-00000-00900.warc.gz").write_bytes(b"old")
+    warc.write_archives(df, folder, F.col("at"))
+    assert sorted(p.name for p in (tmp_path / "archives").iterdir()) == sorted(names)
+
+
+def test_runs_in_files(tmp_path):
+    import pyarrow as pa
+
+    def batch(keys):
+        n = len(keys)
+        columns = [keys, ["t"] * n, list(range(n)), ["response"] * n, [None] * n, [1] * n, ["d"] * n, ["a"] * n, list(range(n))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i in (0, 1, 3, 6, 7) else pa.int64()) for i, c in enumerate(columns)], warc.NAMES)
+
+    runs = warc.Runs(str(tmp_path / "runs"), held=100)
+    rng = random.Random(3)
+    keys = []
+    for _ in range(20):
+        part = [f"k{rng.randrange(10**6)}" for _ in range(rng.randrange(30))]
+        keys += part
+        runs.add(batch(sorted(part) if rng.random() < 0.5 else part))
+    assert any(isinstance(r, str) for r in runs.runs)
+    assert [r[0] for r in runs.merged()] == sorted(keys)
+    runs.close()
+    assert not (tmp_path / "runs").exists()
