@@ -8,27 +8,36 @@
    others are cut out of the text (operator 1).
 5. sentencepiece: the ids of every whole text, and the text they decode to (operator 4).
 
-All but the last return the columns of ``documents``; n_chars is kept as it was read unless a stage
-changes the text.
+All but the last return the columns of ``documents``, whatever they are named; the last adds ``ids`` and
+``decoded``. n_chars is kept as it was read unless a stage changes the text.
+
+Edge cases: an empty table gives an empty one at every stage. A null or empty text isn't toxic by itself but
+fails the base rule of stage 2. Repeated rows are judged alike until stage 3 keeps one of them. A null id is
+kept by stage 3, a null language is a stratum of its own. Texts are handled whole, however long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakesearch.llm import decontamination, minhash_dedup, quality_rules, sentencepiece_codec, toxicity
-from lakesearch.llm.common import materialize, table
+from lakesearch.llm.common import kept, materialize, passing, release, spare, table
+
+
+def whole(docs: DataFrame) -> Column:
+    """The row as one struct, so that no column of a stage can clash with one of the table."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("predicted = 0").select(*docs.columns)
+    judged = toxicity.classify(docs.select("doc_id", "text", whole(docs)), table(spark, sf_dir, "labels"))
+    return judged.filter("predicted = 0").select("row.*")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    measured = materialize(quality_rules.measures(docs), "measured")
-    judged = quality_rules.judge(measured, table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    measured = quality_rules.measures(docs.select("doc_id", "lang", "text", whole(docs))).drop("text")
+    judged = quality_rules.judge(materialize(measured, "measured"), table(spark, sf_dir, "labels"))
+    return judged.filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +45,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    changed = F.col("leak.n_hit") > 0
+    leak = spare(docs, "leak")
+    clean = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), out=leak)
+    changed = F.col(leak)["n_hit"] > 0
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -61,7 +71,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name)
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with passing(spark):  # a stage's own tables go once its result is written
+            before, docs = docs, kept(materialize(stage(spark, docs, sf_dir), name))
+        release(before)
     return docs
