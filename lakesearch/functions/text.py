@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 CJK = "\\u4e00-\\u9fff\\u3400-\\u4dbf"
+# Words, spellings, signs and letters that decide which tokens there are.
 STOP_WORDS = (
-    "the and or to of in on for with how does what when where why this that from"
-).split()
+    "the", "and", "or", "to", "of", "in", "on", "for", "with", "how", "does", "what", "when", "where", "why", "this",
+    "that", "from",
+)
 TYPOS = {
     "ho": "how", "setpup": "setup", "setpu": "setup", "seting": "setting", "configuraiton": "configuration",
     "permisson": "permission", "permisions": "permissions",
@@ -55,7 +57,7 @@ def stem(t: Column) -> Column:
 
 def signals(tokens: Column) -> Column:
     """Tokens without stop words, stemmed."""
-    return F.array_distinct(F.transform(F.filter(tokens, lambda t: ~t.isin(STOP_WORDS)), stem))
+    return F.array_distinct(F.transform(F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS)), stem))
 
 
 def query_text(col: Column) -> Column:
