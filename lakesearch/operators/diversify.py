@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import stored
+
 LAMBDA = {"balanced": 0.76, "strong": 0.62}
 VECTOR_WEIGHT = 0.35
 
@@ -79,6 +81,25 @@ def interleave(placed: DataFrame, place: str = "place", out: str = "position") -
     ).drop("_turn", "_first", "_kept", "_few")
 
 
+def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of the rows with equal keys the first one's (key, order); pre-aggregated, so that copies share no task."""
+    return rows.groupBy(key).agg(F.min(order).alias(order))
+
+
+def numbered(rows: DataFrame, *order, out: str = "place") -> DataFrame:
+    """Number rows from 1 in a total order, without one task for all: ranges of the order are sorted by themselves
+    and begin after the rows of the ranges before."""
+    placed = stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = sizes.select("_part", before.alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
+        out, (F.col("_before") + inside + 1).cast("long")
+    ).drop("_at", "_part", "_before")
+
+
 def collapse(windows: DataFrame) -> DataFrame:
     """windows: (query_id, rank, id, kb_id, file_path, score, source_ids). Keeps one of the windows of a file
     that share a chunk: the later one replaces the first it overlaps if its score or its number of chunks is larger."""

@@ -59,8 +59,9 @@ def issues(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.select("kb_id", F.explode(found).alias("i")).select("kb_id", "i.*")
 
 
-def health_score(found: DataFrame) -> DataFrame:
-    """One row: health_score from 0 to 100 and the number of issues by severity."""
-    penalty = F.coalesce(F.sum(F.when(F.col("severity") == "blocking", PENALTY["blocking"]).when(F.col("severity") == "warning", PENALTY["warning"]).otherwise(PENALTY["info"])), F.lit(0))
-    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
-    return found.agg(F.greatest(F.lit(0), F.least(F.lit(100), 100 - penalty)).cast("long").alias("health_score"), n("blocking"), n("warning"), n("info"))
+def health_score(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """health_score from 0 to 100 and the number of issues by severity: one row, or one for each group that has issues."""
+    n = {x: F.count_if(F.col("severity") == x) for x in PENALTY}
+    penalty = sum((n[x] * p for x, p in PENALTY.items()), F.lit(0))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - penalty)).cast("long").alias("health_score")
+    return found.groupBy(*by).agg(score, *(c.alias(x) for x, c in n.items()))

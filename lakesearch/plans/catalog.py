@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rank, text
 from ..operators import adaptive, bm25, chunkers, diff, diversify, fusion, health, vector
+from ..session import spread, stored
 from ..sources import files
 from ..streaming import watch
 from . import search as plans
@@ -203,7 +204,17 @@ def last_user_message(spark, d):
     return asked.groupBy("conv_id").agg(F.max_by("text", "turn").alias("query"))
 
 
-@query()
+_WORDS = f"""list_filter(list_transform(string_split_regex(regexp_replace(lower({pretokenize_sql('a.text')}), '{text.SIGNS.replace("'", "''")}', ' ', 'g'), '\\s+'),
+  lambda t: CASE t {" ".join(f"WHEN '{x}' THEN '{y}'" for x, y in text.TYPOS.items())} ELSE t END),
+  lambda t: length(t) > 1 OR regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]'))"""
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, b.text AS c, {_WORDS} AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+f AS (SELECT *, list_filter(list_transform(ws, lambda t, i: {{'l': -length(t), 'i': i, 'place': instr(lower(c), t)}}), lambda x: x.place > 0) AS hits FROM p),
+g AS (SELECT *, CASE WHEN len(hits) > 0 THEN list_sort(hits)[1].place - 1 END AS place FROM f),
+h AS (SELECT *, greatest(0, place - 120) AS b, least(length(c), greatest(0, place - 120) + 240) AS e FROM g)
+SELECT conv_id, turn, CASE WHEN place IS NULL THEN substr(c, 1, 240) ELSE
+  CASE WHEN b > 0 THEN '...' ELSE '' END || substr(c, b + 1, e - b) || CASE WHEN e < length(c) THEN '...' ELSE '' END END AS snippet FROM h""")
 def snippet(spark, d):
     """For each turn a window of the next turn's text around its longest token."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
@@ -230,7 +241,7 @@ _TOP = "SELECT query_id, id, kb_id, round(score, 6) AS score, rank FROM (SELECT
 
 def _lexical(spark, d, mode, scope=None):
     made = plans.Index.of(chunks(spark, d)).stored()
-    return bm25.bm25(made.postings, made.stats, items(spark, d), mode, scope).withColumn("score", r6("score"))
+    return bm25.bm25(made.postings, made.stats, items(spark, d), mode, scope, made.terms).withColumn("score", r6("score"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, kb_id, round(score, 6) AS score FROM scored WHERE matched = n_phrases")
@@ -259,7 +270,7 @@ def bm25_kb_scoped_global_stats(spark, d):
 
 @query(f"WITH {_BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
 def term_document_frequency(spark, d):
-    return bm25.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return bm25.document_frequency(chunks(spark, d))
 
 
 @query(f"WITH {_BM25} SELECT kb_id, count(*) AS n, CAST(sum(dl) AS BIGINT) AS tokens, round(avg(dl), 6) AS avgdl FROM docs GROUP BY kb_id")
@@ -311,14 +322,15 @@ _NORM = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score -
 
 def _both(spark, d):
     """Lexical and vector lists of each item and base; the item's vector is the embedding with its id."""
-    by, n = ("query_id", "kb_id"), bm25.candidate_limit()+50
+    by, n = ("query_id", "kb_id"), bm25.candidate_limit() + 50
     lex = bm25.top(_lexical(spark, d, "fallback", "kb"), n, by)
     c = chunks(spark, d)
     e = table(spark, d, "embeddings")
     rows = c.select("id", "kb_id").join(e.select(F.col("vec_id").alias("id"), "embedding"), "id")
     q = items(spark, d).select("query_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    found = vector.search(rows, q, 1 << 20, by_kb=True).drop("rank").withColumn("score", r6("score"))
-    return lex.select(*by, "id", "score"), bm25.top(found, n, by).select(*by, "id", "score")
+    # Scores are rounded before the cut, so that ties between the engines' last digits go to the smaller id.
+    found = vector.search(rows, q, n, by_kb=True, digits=6)
+    return lex.select(*by, "id", "score"), found.select(*by, "id", "score")
 
 
 @query(f"""WITH {_BM25}, {_FALLBACK.format(kb=', kb_id')}, {_LISTS}
@@ -378,23 +390,21 @@ def lexical_evidence(spark, d):
 
 @query("SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS position FROM documents QUALIFY position > 10 AND position <= 30")
 def paginate(spark, d):
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    rows = table(spark, d, "documents").withColumn("position", F.row_number().over(w))
-    return rows.filter("position > 10 and position <= 30").select("lang", "doc_id", "position")
+    rows = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    placed = bm25.top(rows, 30).withColumnRenamed("rank", "position")  # the best 30 of each task before the shuffle
+    return plans.paged(placed, 20, 10).select(F.col("query_id").alias("lang"), F.col("id").alias("doc_id"), "position")
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= greatest(50, 0 + 12 * 10)")
 def candidate_limit(spark, d):
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    rows = table(spark, d, "documents").withColumn("rank", F.row_number().over(w))
-    return rows.filter(F.col("rank") <= bm25.candidate_limit()).select("source", "doc_id", "rank")
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), "n_chars")
+    return bm25.top(rows, bm25.candidate_limit(), ("source",), "n_chars").select("source", F.col("id").alias("doc_id"), "rank")
 
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)")
 def dedupe_first(spark, d):
-    w = Window.partitionBy("hash").orderBy("doc_id")
-    rows = table(spark, d, "documents").withColumn("hash", F.sha2("text", 256)).withColumn("n", F.row_number().over(w))
-    return rows.filter("n = 1").select("hash", "doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return diversify.keep_first(rows, "hash", "doc_id")
 
 
 @query("""WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents),
@@ -426,15 +436,16 @@ def mmr_diversify_strong(spark, d):
 
 def _cut_files(spark, d):
     """Documents with doubled line breaks as text files, chunked."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     path = F.concat(F.col("source"), F.lit("/notes/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select(F.col("lang").alias("kb_id"), path.alias("file_path"), F.regexp_replace("text", "\n", "\n\n").alias("content"))
 
 
 def _windows(spark, d):
     cut = chunkers.chunks(_cut_files(spark, d)).withColumn("id", F.xxhash64("file_path", "ord"))
-    index = plans.Index.of(cut)
-    seeds = bm25.top(bm25.bm25(index.postings, index.stats, items(spark, d), "or"), 20)
+    cut = stored(cut, "cut")
+    index = plans.Index.of(cut).stored()
+    seeds = bm25.top(bm25.bm25(index.postings, index.stats, items(spark, d), "or", terms=index.terms), 20)
     rows = seeds.drop("kb_id").join(cut, "id").join(items(spark, d).select("query_id", "signals"), "query_id")
     return adaptive.windows(rows.drop("source_ids"), cut)
 
@@ -453,7 +464,7 @@ def _searched(mode, **more):
     def run(spark, d):
         c = chunks(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
         e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-        q = items(spark, d).select("query_id", "raw").join(e, "query_id")
+        q = items(spark, d).select("query_id", "raw").join(e, "query_id", "left")  # the lexical side needs no vector
         return plans.search(plans.Index.of(c).stored(), q, plans.Options(mode=mode, **more)).select("query_id", "position", "total", "id", "kb_id", "file_path", r6("score").alias("score"), "snippet")
 
     run.__name__ = f"search_{mode}"
@@ -464,11 +475,66 @@ for _mode in (*plans.MODES, "auto"):
     QUERIES[f"search_{_mode}"] = _searched(_mode)
 
 
+# The modes without diversity are windows and joins only, so SQL can say what they return.
+_QUESTIONS = f"""{_BM25}, {_FALLBACK.format(kb=', kb_id')}, ands AS (SELECT * FROM scored WHERE matched = n_phrases),
+qtext AS (SELECT item_id AS query_id, {signals_sql(tokenize_sql('text'))} AS qs FROM benchmark),
+near AS (SELECT query_id, kb_id, id, score FROM (SELECT e.vec_id AS query_id, c.kb_id, c.id, {_DOT} AS score,
+    row_number() OVER (PARTITION BY e.vec_id, c.kb_id ORDER BY {_DOT} DESC, c.id) AS rank
+  FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id JOIN (SELECT vec_id, embedding FROM embeddings) a ON a.vec_id = e.vec_id,
+  embeddings b JOIN chunks c ON b.vec_id = c.id) WHERE rank <= 120)"""
+
+
+def _lists_sql(source):
+    return f"""(SELECT query_id, kb_id, id, score FROM (SELECT query_id, kb_id, id, score,
+    row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, id) AS rank FROM {source}) WHERE rank <= 120)"""
+
+
+_MIXED = f"""lex AS {_lists_sql('kept')}, anchored AS (SELECT * FROM near SEMI JOIN lex USING (query_id, kb_id)),
+la AS (SELECT query_id, kb_id, id, {_NORM} AS l FROM lex WINDOW w AS (PARTITION BY query_id, kb_id)),
+va AS (SELECT query_id, kb_id, id, {_NORM} AS v FROM anchored WINDOW w AS (PARTITION BY query_id, kb_id)),
+cands AS (SELECT query_id, kb_id, id, 0.45::DOUBLE * coalesce(l, 0.0) + 0.55::DOUBLE * coalesce(v, 0.0) + CASE WHEN coalesce(l, 0.0) > 0 AND coalesce(v, 0.0) > 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS score
+  FROM la FULL JOIN va USING (query_id, kb_id, id))"""
+_GATE = """adjusted_score >= 0.18 AND CASE WHEN len(qs) <= 1 THEN true WHEN source_boost >= 0.22 THEN true
+  WHEN len(qs) <= 3 THEN coverage >= 1.0 / len(qs) ELSE coverage >= 0.34 END"""
+
+
+def _plain_sql(cands, where):
+    pairs = f"""pairs AS (SELECT c.*, t.query_id, t.score, q2.qs, {signals_sql(tokenize_sql('c.index_text'))} AS ts
+      FROM cands t JOIN chunks c ON t.id = c.id JOIN qtext q2 ON q2.query_id = t.query_id)"""
+    return f"""WITH {_QUESTIONS}, {cands}, {pairs}, {_rank_sql('CAST(score AS DOUBLE)', 'qs', 'ts')},
+passed AS (SELECT query_id, id, kb_id, round(adjusted_score, 6) AS score FROM ranked WHERE {where})
+SELECT query_id, id, kb_id, score, count(*) OVER (PARTITION BY query_id) AS total FROM passed QUALIFY score >= max_score(query_id)"""
+
+
+def _unpaged(mode):
+    """All results of a mode without diversity: the page is as long as there may be candidates."""
+
+    def run(spark, d):
+        c = chunks(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+        e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        q = items(spark, d).select("query_id", "raw").join(e, "query_id", "left")
+        o = plans.Options(mode=mode, diversity="off")
+        found = plans.ranked(plans.Index.of(c).stored(), q, o)
+        total = F.count("*").over(Window.partitionBy("query_id"))  # candidates, of which a query has a bounded number
+        return found.select("query_id", "id", "kb_id", r6("score").alias("score"), total.alias("total"))
+
+    run.__name__ = f"ranked_{mode}"
+    return run
+
+
+for _mode, _cands, _where in (
+    ("fast", f"cands AS {_lists_sql('ands')}", "coverage > 0"), ("semantic", "cands AS (SELECT * FROM near)", "true"), ("hybrid", _MIXED, _GATE)
+):
+    QUERIES[f"ranked_{_mode}"] = _unpaged(_mode)
+    SQL[f"ranked_{_mode}"] = _plain_sql(_cands, _where).replace(" QUALIFY score >= max_score(query_id)", "")
+
+
 @query()
 def auto_inject(spark, d):
-    """The fast search for the last user message of each conversation."""
-    asked = last_user_message(spark, d).select(F.col("conv_id").alias("query_id"), F.col("query").alias("raw"))
-    return plans.search(plans.Index.of(chunks(spark, d)), asked, plans.Options("fast", 3)).select("query_id", "position", "id", r6("score").alias("score"))
+    """The fast search for the last user message of each conversation: its first three words, as no document of
+    these tables holds all words of a whole message."""
+    asked = last_user_message(spark, d).select(F.col("conv_id").alias("query_id"), F.substring_index("query", " ", 3).alias("raw"))
+    return plans.search(plans.Index.of(chunks(spark, d)).stored(), asked, plans.Options("fast", 3)).select("query_id", "position", "id", r6("score").alias("score"))
 
 
 # Chunks and hashes
@@ -490,7 +556,13 @@ def chunk_markdown(spark, d):
     return _chunk_rows(chunkers.chunks(docs.select(F.col("lang").alias("kb_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), body.alias("content"))))
 
 
-@query()
+_HASH = "sha256(concat_ws(chr(0), file_path, {kind}, start_line, end_line, metadata_json, content))"
+
+
+@query(f"""WITH p AS (SELECT p_brand AS kb_id, 'src/' || p_partkey || '.py' AS file_path, regexp_replace(p_name, '[^A-Za-z]', '_', 'g') AS name, p_retailprice AS price, p_size AS size FROM part),
+c AS (SELECT kb_id, file_path, 0 AS ord, 2 AS start_line, 3 AS end_line, '    def price(self):' || chr(10) || '        return ' || price AS content, '{{"function_name":"' || name || '.price"}}' AS metadata_json FROM p
+  UNION ALL SELECT kb_id, file_path, 1, 6, 7, 'def size():' || chr(10) || '    return ' || size, '{{"function_name":"size"}}' FROM p)
+SELECT kb_id, file_path, ord, start_line, end_line, length(content) AS chars, {_HASH.format(kind="'python'")} AS content_hash, metadata_json FROM c""")
 def chunk_code(spark, d):
     """A made-up source file of each part: a class with a method, and a function."""
     name = F.regexp_replace("p_name", "[^A-Za-z]", "_")
@@ -498,7 +570,14 @@ def chunk_code(spark, d):
     return _chunk_rows(chunkers.chunks(table(spark, d, "part").select(F.col("p_brand").alias("kb_id"), F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), body.alias("content"))))
 
 
-@query()
+# A stripped page is one paragraph without a line end: slices of 6,000 characters, or all of a short one.
+@query(rf"""WITH t AS (SELECT url AS file_path, trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '<[^>]+>', ' ', 'g'), '(?i)&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM pages),
+s AS (SELECT file_path, n, trim(substr(content, n * 6000 + 1, 6000)) AS content FROM (SELECT *, unnest(range(0, CAST(ceil(length(content) / 6000.0) AS BIGINT))) AS n FROM t WHERE length(content) > 6000)),
+c AS (SELECT file_path, n, content, n + 1 AS start_line, n + 2 AS end_line FROM s WHERE length(content) >= 50
+  UNION ALL SELECT file_path, 0, content, 1, 2 FROM t WHERE length(content) BETWEEN 50 AND 6000
+  UNION ALL SELECT file_path, 0, content, 1, 1 FROM t WHERE length(content) BETWEEN 11 AND 49),
+r AS (SELECT *, '{{}}' AS metadata_json, row_number() OVER (PARTITION BY file_path, content, n ORDER BY n) AS copy, dense_rank() OVER (PARTITION BY file_path ORDER BY n) - 1 AS place FROM c)
+SELECT 'web' AS kb_id, file_path, CAST(place AS INT) AS ord, start_line, end_line, length(content) AS chars, {_HASH.format(kind="CASE WHEN file_path LIKE '%.html' THEN 'html' ELSE 'text' END")} AS content_hash, metadata_json FROM r""")
 def url_chunks(spark, d):
     pages = table(spark, d, "pages").select(F.lit("web").alias("kb_id"), F.col("url").alias("file_path"), text.strip_html(F.col("html")).alias("content"))
     return _chunk_rows(chunkers.chunks(pages))
@@ -559,7 +638,8 @@ def snapshot_diff(spark, d):
 # Portable form, scans
 
 
-@query()
+@query(f"""WITH {CHUNKS_SQL} SELECT -1 AS ord, '{{"name":"documents","source_type":"text","chunk_count":' || count(*) || '}}' AS value FROM chunks
+UNION ALL SELECT id, CAST(to_json({{'content': content, 'file_path': file_path, 'file_type': file_type, 'start_line': start_line, 'end_line': end_line, 'metadata_json': '{{}}'}}) AS VARCHAR) FROM chunks""")
 def export_jsonl(spark, d):
     c = chunks(spark, d).withColumn("ord", F.col("id")).withColumn("metadata_json", F.lit("{}"))
     return files.portable(c, "documents", None, "text")
@@ -612,7 +692,7 @@ def kb_counts(spark, d):
 def kb_list(spark, d):
     """Bases by their last change. The order is over bases, of which there are few, not over events."""
     rows = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("updated_at"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "user_id")))
+    return diversify.numbered(rows, F.desc("updated_at"), F.col("user_id"), out="place")
 
 
 @query("""SELECT user_id AS kb_id, arg_max(event_type, (ts, event_id)) AS phase, count(*) AS updates, min(ts) AS started_at, max(ts) AS last_progress_at,
@@ -687,10 +767,8 @@ SELECT kb_id, CAST(greatest(0, least(100, 100 - 35 * blocking - 12 * warning - 2
 def doctor_score(spark, d):
     """Issues and scores for made-up diagnoses of each base."""
     rows = _diagnosed(spark, d)
-    found = health.issues(rows).groupBy("kb_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in health.PENALTY))
-    all_ = rows.select("kb_id").join(found, "kb_id", "left").na.fill(0)
-    penalty = sum((F.col(s) * p for s, p in health.PENALTY.items()), F.lit(0))
-    return all_.select("kb_id", F.greatest(F.lit(0), F.least(F.lit(100), 100 - penalty)).cast("long").alias("score"), *health.PENALTY)
+    scored = health.health_score(health.issues(rows), ("kb_id",)).withColumnRenamed("health_score", "score")
+    return rows.select("kb_id").join(scored, "kb_id", "left").na.fill(100, ["score"]).na.fill(0)
 
 
 @query("""WITH e AS (SELECT user_id AS kb_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events),

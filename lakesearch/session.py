@@ -52,6 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables under so many bytes may be one row group and thus one task: dealing them out costs a shuffle of that at most.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before costly work on each row: deal a small table out to all cores; a large one has splits enough."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SPREAD_BYTES else df
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Written to the shared folder and read again: computed once, whatever executors are lost later."""
     path = f"{shared_dir(df.sparkSession)}/lakesearch/{uuid.uuid4().hex}/{tag}"
