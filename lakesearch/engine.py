@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
+import threading
 import time
 import urllib.request
 import uuid
@@ -17,15 +19,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import report
 from .functions import text
-from .operators import bm25, chunkers, diff, health
+from .operators import bm25, chunkers, diff, diversify, health
 from .plans import search as plans
 from .sources import files
-from .store import CHUNK, Store
+from .store import CHUNK, GRACE_MS, Store, names
 
 BATCH, API_CHARS, MODEL = 64, 20_000, "hashing-256"
 #: So many queries of a batch have their terms pushed into the scan of the postings.
 FEW_QUERIES = 64
 Embedder = Callable[[list[str]], np.ndarray]
+Progress = Callable[[str], None]
+POLL_SECONDS = 0.2
+
+
+class Cancelled(RuntimeError):
+    """The caller asked to stop."""
 
 
 def hashing_embedder(texts: list[str], width: int = 256) -> np.ndarray:
@@ -41,11 +49,20 @@ def hashing_embedder(texts: list[str], width: int = 256) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def api_embedder(url: str, model: str, key: str | None = None) -> Embedder:
-    """An embeddings endpoint of the common JSON form; inputs are cut to 20,000 characters."""
+def api_embedder(url: str, model: str, key: str | None = None, max_chars: int = API_CHARS, fallback: Embedder | None = None) -> Embedder:
+    """An embeddings endpoint of the common JSON form; inputs are cut to max_chars. If it fails, ``fallback`` embeds."""
 
     def embed(texts: list[str]) -> np.ndarray:
-        body = json.dumps({"model": model, "input": [t[:API_CHARS] for t in texts]}).encode()
+        try:
+            return ask(texts)
+        except Exception as e:  # noqa: BLE001  whatever the endpoint does
+            if fallback is None:
+                raise
+            print(f"the embeddings endpoint failed, the fallback is used: {e}")
+            return fallback(texts)
+
+    def ask(texts: list[str]) -> np.ndarray:
+        body = json.dumps({"model": model, "input": [t[:max_chars] for t in texts]}).encode()
         request = urllib.request.Request(url, body, {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {}))
         with urllib.request.urlopen(request) as r:
             rows = sorted(json.load(r)["data"], key=lambda x: x["index"])
@@ -69,16 +86,21 @@ def with_embeddings(chunks: DataFrame, embedder: Embedder, column: str = "index_
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder = hashing_embedder, scorer: plans.Scorer = plans.lexical_overlap, clock: Callable[[], int] | None = None):
-        self.spark, self.store, self.embedder, self.scorer = spark, Store(spark, root), embedder, scorer
+    def __init__(
+        self, spark: SparkSession, root: str, embedder: Embedder = hashing_embedder, scorer: plans.Scorer = plans.lexical_overlap,
+        clock: Callable[[], int] | None = None, grace_ms: int = GRACE_MS,
+    ):
+        """grace_ms: how long old generations stay for plans that were made before; 0 deletes them at once."""
+        self.spark, self.store, self.embedder, self.scorer = spark, Store(spark, root, grace_ms), embedder, scorer
         self.now = clock or (lambda: int(time.time() * 1000))
 
     # Sources
 
     def kind(self, source: str) -> str:
+        """url, directory, file (of this machine or of a store that is named by a URI) or text."""
         if re.match(r"https?://", source):
             return "url"
-        return "directory" if os.path.isdir(source) else "file" if os.path.isfile(source) else "text"
+        return files.kind(source) or "text"
 
     def _scan(self, source: str, options: dict, content: bool) -> DataFrame:
         return files.scan(self.spark, source, options.get("include_suggested_text", False), options.get("include_paths") or (), options.get("exclude_paths") or (), content=content)
@@ -115,64 +137,126 @@ class Engine:
     def plan(self, source: str, **options) -> dict:
         kind = self.kind(source)
         if kind != "directory":
-            return {"source_type": kind, "files": 1, "bytes": os.path.getsize(source) if kind == "file" else len(source.encode()), "skipped": {}}
+            return {"source_type": kind, "files": 1, "bytes": files.stat(source)[0] if kind == "file" else len(source.encode()), "skipped": {}}
         scanned = self._scan(source, options, False)
         row = files.plan(scanned).first()
         return {"source_type": kind, "files": row.files, "bytes": row.bytes, "skipped": {r.reason: r.files for r in files.skipped(scanned).collect()}, "samples": [r.asDict() for r in files.skipped_samples(scanned).collect()]}
 
-    def add(self, source: str, name: str, description: str | None = None, **options) -> dict:
+    @contextlib.contextmanager
+    def _running(self, kb: dict, operation: str, progress: Progress | None, cancelled: Callable[[], bool] | None) -> Iterator[Callable[..., None]]:
+        """A job of a base. The body gets a function that notes a step: its message goes to ``progress`` and, with the
+        named fields, into the job. ``cancelled`` is asked at each step and, by a thread, while Spark works: the jobs
+        under way stop, and Cancelled is raised. A failure ends the job."""
+        sc, tag, over = self.spark.sparkContext, f"lakesearch-{uuid.uuid4().hex}", threading.Event()
+        asked = cancelled or (lambda: False)
+
+        def step(message: str, **fields) -> None:
+            if progress:
+                progress(message)
+            self.store.update_job(kb["id"], message=message, last_progress_at=self.now(), **fields)
+            if asked():
+                raise Cancelled("Cancelled")
+
+        def poll() -> None:
+            while not over.wait(POLL_SECONDS):
+                if asked():
+                    sc.cancelJobsWithTag(tag)
+
+        self.store.start_job(kb["id"], operation, self.now())
+        watcher = threading.Thread(target=poll, daemon=True)
+        sc.addJobTag(tag)
+        if cancelled:
+            watcher.start()
+        what = "Update" if operation == "update" else "Indexing"
+        try:
+            yield step
+            self.store.finish_job(kb["id"], "succeeded", self.now())
+        except Exception as e:
+            over.set()
+            sc.removeJobTag(tag)
+            stopped = isinstance(e, Cancelled) or asked()
+            self.store.update_job(kb["id"], message=f"{what} cancelled." if stopped else f"{what} failed.")
+            self.store.finish_job(kb["id"], "cancelled" if stopped else "failed", self.now(), str(e)[:500])
+            if stopped and not isinstance(e, Cancelled):
+                raise Cancelled("Cancelled") from e
+            raise
+        finally:
+            over.set()
+            sc.removeJobTag(tag)
+
+    def add(
+        self, source: str, name: str, description: str | None = None, progress: Progress | None = None,
+        cancelled: Callable[[], bool] | None = None, **options,
+    ) -> dict:
         if self.store.find(name):
             raise ValueError(f"a knowledge base named {name} exists")
         kind, now = self.kind(source), self.now()
         kb = {"id": str(uuid.uuid4()), "name": name, "description": description, "source_type": kind, "source_path": None if kind == "text" else source, "source_options": json.dumps(options) if options else None, "created_at": now, "updated_at": now, "chunk_count": 0, "file_count": 0, "embedding_model": MODEL, "status": "indexing"}
         self.store.put(kb)
-        self.store.start_job(kb["id"], "add", now)
         try:
-            return self._index(kb, self._described(chunkers.chunks(self._files(kb["id"], source, kind, options)), now), "add")
+            with self._running(kb, "add", progress, cancelled) as step:
+                total = self._planned(source, kind, options, step)
+                return self._index(kb, self._described(chunkers.chunks(self._files(kb["id"], source, kind, options)), now), step, total)
         except Exception:
-            self.store.remove(kb["id"])
+            self.store.remove(kb["id"])  # nothing of a failed addition stays
             raise
 
-    def _index(self, kb: dict, chunks: DataFrame, operation: str) -> dict:
+    def _planned(self, source: str, kind: str, options: dict, step: Callable[..., None]) -> int | None:
+        total = None
+        if kind == "directory":
+            row = files.plan(self._scan(source, options, False)).first()
+            total = row.files
+            step(f"Planned directory scan: {total} files, {report.size(row.bytes)}, {row.skipped} skipped", phase="planning", total_files=total)
+        step("Scanning source...", phase="scanning")
+        return total
+
+    def _index(self, kb: dict, chunks: DataFrame, step: Callable[..., None], total: int | None = None) -> dict:
+        began = self.now()
         ready = chunks if "embedding" in chunks.columns else with_embeddings(chunks, self.embedder)
         self.store.put({**kb, "status": "indexing"}, ready)
-        n = self.store.chunks(kb["id"]).agg(F.count("*").alias("c"), F.count_distinct("file_path").alias("f")).first()
+        n = self._counts(kb["id"])
+        step(f"Scanned {n.f} files: {report.progress(n.c, self.now() - began, n.f, total)}", phase="storing", files_seen=n.f, files_done=n.f, chunks_seen=n.c, chunks_added=n.c)
         kb = {**kb, "status": "ready", "chunk_count": n.c, "file_count": n.f, "updated_at": self.now()}
         self.store.put(kb)
-        self.store.update_job(kb["id"], operation=operation, chunks_added=n.c, files_done=n.f)
-        self.store.finish_job(kb["id"], "succeeded", self.now())
+        step(f"Ready: {n.c} chunks from {n.f} files.")
         return kb
 
-    def update(self, target: str) -> dict:
-        """Match by identity hash; only added chunks are embedded, the others keep their rows."""
+    def _counts(self, kb_id: str):
+        return self.store.chunks(kb_id).agg(F.count("*").alias("c"), F.count_distinct("file_path").alias("f")).first()
+
+    def update(self, target: str, progress: Progress | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
+        """Match by identity hash; only added chunks are embedded, the others keep their rows. A base without any
+        change isn't written again."""
         kb = self._need(target)
         if not kb["source_path"]:
             raise ValueError(f"{kb['name']} has no source to update from")
         if kb["source_type"] != "url" and not files.exists(kb["source_path"]):
             raise ValueError(f"the source of {kb['name']} is missing: {kb['source_path']}")
-        now, options = self.now(), json.loads(kb["source_options"] or "{}")
-        self.store.start_job(kb["id"], "update", now)
+        now, options, kind = self.now(), json.loads(kb["source_options"] or "{}"), kb["source_type"]
+        both = None
         try:
-            old = self.store.chunks(kb["id"])
-            new = self._described(chunkers.chunks(self._files(kb["id"], kb["source_path"], kb["source_type"], options)), now)
-            both = diff.match(old, new)
-            both.persist()
-            counts = {r.change: r.n for r in both.groupBy("change").agg(F.count("*").alias("n")).collect()}
-            columns = [x.split()[0] for x in CHUNK.split(", ")]
-            kept = both.filter("change = 'unchanged'").select("old.*").select(columns)
-            added = with_embeddings(both.filter("change = 'added'").select("new.*"), self.embedder).select(columns)
-            self.store.put(kb, kept.unionByName(added))
-            both.unpersist()
-            n = self.store.chunks(kb["id"]).agg(F.count("*").alias("c"), F.count_distinct("file_path").alias("f")).first()
-            self.store.put({**kb, "status": "ready", "chunk_count": n.c, "file_count": n.f, "updated_at": self.now()})
-            out = {k: counts.get(k, 0) for k in ("added", "removed", "unchanged")}
-            self.store.update_job(kb["id"], **{f"chunks_{k}": v for k, v in out.items()})
-            self.store.finish_job(kb["id"], "succeeded", self.now())
-            return out
-        except Exception as e:
+            with self._running(kb, "update", progress, cancelled) as step:
+                total = self._planned(kb["source_path"], kind, options, step)
+                old = self.store.chunks(kb["id"])
+                new = self._described(chunkers.chunks(self._files(kb["id"], kb["source_path"], kind, options)), now)
+                both = diff.match(old, new).persist()
+                counts = {r.change: r.n for r in both.groupBy("change").agg(F.count("*").alias("n")).collect()}
+                out = {k: counts.get(k, 0) for k in ("added", "removed", "unchanged")}
+                step(f"Changes: {out['added']} added, {out['removed']} removed, {out['unchanged']} unchanged. Embedding update batch of {out['added']} chunks.", phase="embedding", **{f"chunks_{k}": v for k, v in out.items()})
+                if out["added"] or out["removed"]:
+                    kept = both.filter("change = 'unchanged'").select("old.*").select(names(CHUNK))
+                    added = with_embeddings(both.filter("change = 'added'").select("new.*"), self.embedder).select(names(CHUNK))
+                    self.store.put(kb, kept.unionByName(added))
+                n = self._counts(kb["id"])
+                self.store.put({**kb, "status": "ready", "chunk_count": n.c, "file_count": n.f, "updated_at": self.now()})
+                step(f"Ready: {n.c} chunks from {n.f} files.", files_seen=n.f, files_done=n.f, total_files=total)
+                return out
+        except Exception:
             self.store.put({**kb, "status": "error", "updated_at": self.now()})
-            self.store.finish_job(kb["id"], "failed", self.now(), str(e)[:500])
             raise
+        finally:
+            if both is not None:
+                both.unpersist()
 
     def _need(self, target: str) -> dict:
         if not (kb := self.store.find(target)):
@@ -200,7 +284,8 @@ class Engine:
         if len(queries) <= FEW_QUERIES:  # then their terms are few, and only these postings are read
             words = bm25.phrases(asked.select("query_id", F.concat_ws(" ", text.query_text(F.col("raw")), "raw").alias("query")))
             terms = [r.t for r in words.select(F.explode("words").alias("t")).distinct().collect()]
-            index = replace(index, postings=index.postings.filter(F.col("term").isin(terms)))
+            wanted = F.col("term").isin(terms)
+            index = replace(index, postings=index.postings.filter(wanted), terms=index.terms.filter(wanted))
         return plans.search(index, asked, o)
 
     def status(self) -> DataFrame:
@@ -210,11 +295,16 @@ class Engine:
         kbs = self.store.kbs().withColumnRenamed("id", "kb_id")
         rows, dropped = None, None
         for kb in self.store.kbs().collect():  # the bases, not their files
-            if kb.source_type == "directory" and os.path.isdir(kb.source_path or ""):
+            if kb.source_type not in ("directory", "file") or not kb.source_path or not (found := files.kind(kb.source_path)):
+                continue  # texts, pages and missing sources can't be compared
+            if found == "directory":
                 scanned = self._scan(kb.source_path, json.loads(kb.source_options or "{}"), False).withColumn("kb_id", F.lit(kb.id))
-                good = scanned.filter("reason is null").select("kb_id", F.col("rel_path").alias("file_path"), "mtime")
-                bad = scanned.filter("reason is not null").select("kb_id", "reason")
-                rows, dropped = (good, bad) if rows is None else (rows.unionByName(good), dropped.unionByName(bad))
+            else:
+                one = [(kb.id, kb.source_path, files.stat(kb.source_path)[1], None)]
+                scanned = self.spark.createDataFrame(one, "kb_id string, rel_path string, mtime long, reason string")
+            good = scanned.filter("reason is null").select("kb_id", F.col("rel_path").alias("file_path"), "mtime")
+            bad = scanned.filter("reason is not null").select("kb_id", "reason")
+            rows, dropped = (good, bad) if rows is None else (rows.unionByName(good), dropped.unionByName(bad))
         chunks = self.store.chunks()
         if rows is None:
             rows = self.spark.createDataFrame([], "kb_id string, file_path string, mtime long")
@@ -246,14 +336,12 @@ class Engine:
         self.store.clear()
 
     def export(self, target: str, path: str) -> None:
-        from pyspark.sql import Window
-
         kb = self._need(target)
-        rows = self.store.chunks(kb["id"])
-        ranked = rows.withColumn("ord", F.row_number().over(Window.partitionBy("kb_id").orderBy("file_path", "ord")))
+        rows = self.store.chunks(kb["id"]).withColumn("place", F.col("ord")).drop("ord")
+        ranked = diversify.numbered(rows, F.col("file_path"), F.col("place"), F.col("id"), out="ord")
         files.export_jsonl(ranked, path, kb["name"], kb["description"], kb["source_type"])
 
-    def import_(self, path: str) -> dict:
+    def import_(self, path: str, progress: Progress | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
         """The base becomes one of type text; nothing stays if a line is broken."""
         from pyspark.sql import Window
 
@@ -261,11 +349,11 @@ class Engine:
         now = self.now()
         kb = {"id": str(uuid.uuid4()), "name": header["name"], "description": header.get("description"), "source_type": "text", "created_at": now, "updated_at": now, "chunk_count": 0, "file_count": 0, "embedding_model": MODEL, "status": "indexing"}
         self.store.put(kb)
-        self.store.start_job(kb["id"], "import", now)
         try:
-            w = Window.partitionBy("file_path").orderBy("start_line", "end_line", "content")
-            placed = rows.withColumn("kb_id", F.lit(kb["id"])).withColumn("ord", F.row_number().over(w))
-            return self._index(kb, self._described(chunkers.describe(placed), now), "import")
+            with self._running(kb, "import", progress, cancelled) as step:
+                w = Window.partitionBy("file_path").orderBy("start_line", "end_line", "content")
+                placed = rows.withColumn("kb_id", F.lit(kb["id"])).withColumn("ord", F.row_number().over(w))
+                return self._index(kb, self._described(chunkers.describe(placed), now), step)
         except Exception:
             self.store.remove(kb["id"])
             raise

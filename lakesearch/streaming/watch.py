@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.diff import snapshot_diff
 from ..sources.files import snapshot
+from ..versions import Versions
 
 DEBOUNCE, WATERMARK, POLL = "2 seconds", "10 seconds", "2 seconds"
 
@@ -24,33 +26,33 @@ def debounce(changes: DataFrame, gap: str = DEBOUNCE, watermark: str = WATERMARK
 class Poll:
     """Compares each snapshot of a folder with the one before; fires once no more changes come.
 
-    Snapshots are tables in the checkpoint folder, so a restarted watcher finds what changed meanwhile. A
-    changed snapshot resets the wait; the first quiet poll after it fires.
+    The latest snapshot and whether a change waits are a state in the checkpoint folder, replaced as a whole, so a
+    restarted watcher finds what changed meanwhile and what it hadn't done yet. A changed snapshot resets the wait;
+    the first quiet poll after it fires. If the update fails, the next quiet poll tries again.
     """
 
     def __init__(self, spark: SparkSession, root: str, state: str, update: Callable[[], None]):
         self.spark, self.root, self.state, self.update = spark, root, state, update
-        self.n, self.pending = 0, False
+        self.versions = Versions(spark, state, "POLL")
 
     def __call__(self) -> bool:
         """One poll; whether it fired."""
-        now = f"{self.state}/{self.n % 2}"
-        snapshot(self.spark, self.root).write.mode("overwrite").parquet(now)
-        schema = "path string, state string"
-        read = lambda at: self.spark.read.schema(schema).parquet(at)
-        self.n += 1
-        if self.n > 1:
-            before = f"{self.state}/{self.n % 2}"
-            if not snapshot_diff(read(before), read(now), ["path"], "state").isEmpty():
-                self.pending = True
-                return False
-        if not self.pending:
+        n, was = self.versions.read() or (0, {"snapshot": None, "pending": False})
+        name = f"snapshot-{uuid.uuid4().hex}"
+        snapshot(self.spark, self.root).write.parquet(f"{self.state}/{name}")
+        read = lambda at: self.spark.read.schema("path string, state string").parquet(f"{self.state}/{at}")
+        changed = was["snapshot"] is not None and not snapshot_diff(read(was["snapshot"]), read(name), ["path"], "state").isEmpty()
+        n = self.versions.publish({"snapshot": name, "pending": was["pending"] or changed}, n)
+        if was["snapshot"]:
+            self.versions.fs.delete(self.versions.path(f"{self.state}/{was['snapshot']}"), True)
+        if changed or not was["pending"]:
             return False
-        self.pending = False
         try:
             self.update()
-        except Exception as e:  # noqa: BLE001  the watcher outlives a failed update; the next change tries again
+        except Exception as e:  # noqa: BLE001  the watcher outlives a failed update
             print(f"update of {self.root} failed: {e}")
+            return True
+        self.versions.publish({"snapshot": name, "pending": False}, n)
         return True
 
 

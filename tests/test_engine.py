@@ -25,7 +25,7 @@ def write(root, paths):
 @pytest.fixture
 def engine(spark, tmp_path):
     now = [1_700_000_000_000]
-    made = e.Engine(spark, str(tmp_path / "store"), clock=lambda: now[0])
+    made = e.Engine(spark, str(tmp_path / "store"), clock=lambda: now[0], grace_ms=0)
     made.clock = now
     return made
 
@@ -268,3 +268,185 @@ def test_watch(spark, tmp_path):
         if seen:
             break
     assert watch.stop(spark) == 1 and seen == ["w"]
+
+
+def test_restarted_watcher_finds_what_changed_meanwhile(engine, spark, tmp_path):
+    root = tmp_path / "w"
+    write(root, {"a.txt": "x"})
+    seen = []
+    new = lambda: watch.Poll(spark, str(root), str(tmp_path / "state"), lambda: seen.append(1))
+    assert new()() is False
+    write(root, {"b.txt": "y"})  # while no watcher runs
+    assert new()() is False and new()() is True and seen == [1]
+    write(root, {"c.txt": "z"})
+    again = new()
+    again.update = lambda: 1 / 0
+    assert [again(), again()] == [False, True]  # the failed update stays pending
+    assert new()() is True and seen == [1, 1] and new()() is False
+
+
+class Crash(BaseException):
+    pass
+
+
+def test_a_crash_while_publishing_loses_nothing(spark, tmp_path, monkeypatch):
+    from lakesearch import store as st, versions
+
+    at = str(tmp_path / "store")
+    kb = {"id": "k1", "name": "one", "status": "ready", "created_at": 1, "updated_at": 1}
+    st.Store(spark, at).put(kb)
+    real = versions.Versions.publish
+
+    class Broken:
+        """The file system, until the call of a given name."""
+
+        def __init__(self, fs, call):
+            self.fs, self.call = fs, call
+
+        def __getattr__(self, name):
+            if name == self.call:
+                raise Crash
+            return getattr(self.fs, name)
+
+    for call in ("create", "rename", "delete"):
+        made = st.Store(spark, at)
+        made.pointer.fs = Broken(made.pointer.fs, call)
+        before = made.state()["kbs"]
+        for n in range(versions.KEEP + 1):
+            try:
+                made.put({**kb, "id": f"{call}{n}", "name": call})
+            except Crash:
+                break
+        again = st.Store(spark, at)  # never starts anew
+        names = {r.id for r in again.kbs().collect()}
+        assert "k1" in names and (call == "delete" or again.state()["kbs"] == before)
+    assert real is versions.Versions.publish
+
+
+def test_an_old_reader_finishes_and_a_second_writer_is_told(spark, tmp_path):
+    from lakesearch import store as st, versions
+
+    made = st.Store(spark, str(tmp_path / "store"))
+    made.put({"id": "a", "name": "a", "updated_at": 1})
+    old = made.kbs()
+    other = st.Store(spark, str(tmp_path / "store"))
+    state = other.state()
+    made.put({"id": "b", "name": "b", "updated_at": 2})
+    made.clear()
+    assert [r.id for r in old.collect()] == ["a"] and made.kbs().count() == 0
+    with pytest.raises(versions.Conflict):
+        other._publish(state)
+    late = st.Store(spark, str(tmp_path / "store"), grace_ms=0)
+    late.put({"id": "c", "name": "c", "updated_at": 3})
+    assert len(list(Path(tmp_path / "store" / "kbs").iterdir())) == 1
+
+
+def test_a_store_without_a_pointer_is_left_alone(spark, tmp_path):
+    from lakesearch import store as st
+
+    st.Store(spark, str(tmp_path / "s")).put({"id": "a", "name": "a"})
+    for x in Path(tmp_path / "s").glob("CURRENT*"):
+        x.unlink()
+    with pytest.raises(ValueError):
+        st.Store(spark, str(tmp_path / "s"))
+    assert list(Path(tmp_path / "s" / "kbs").iterdir())
+
+
+def test_stores_of_version_one_are_migrated(engine, spark, tmp_path):
+    """Version 1: one pointer file, chunks without numbers, postings by hashes of ids, no terms."""
+    from lakesearch import store as st
+    from lakesearch.operators import bm25
+
+    engine.add("Some text about zanzibar that is long enough to be a chunk of its own in the base.", "t")
+    kb = engine.store.find("t")
+    at = tmp_path / "old"
+    chunks = engine.store.chunks(kb["id"])
+    chunks.write.parquet(f"{at}/chunks/{kb['id']}/g")
+    bm25.postings(chunks.withColumn("id", F.xxhash64("id"))).write.parquet(f"{at}/postings/{kb['id']}/g")
+    engine.store.kbs().write.parquet(f"{at}/kbs/g")
+    state = {"version": 1, "kbs": "kbs/g", "jobs": None, "chunks": {kb["id"]: f"chunks/{kb['id']}/g"}, "postings": {kb["id"]: f"postings/{kb['id']}/g"}}
+    (at / "CURRENT").write_text(json.dumps(state))
+    made = e.Engine(spark, str(at))
+    assert made.store.state()["version"] == st.VERSION
+    assert made.search("zanzibar", "fast")["total_count"] == 1
+    assert made.store.index().chunks.first().id == 0
+
+
+def test_chunks_of_several_bases_have_numbers_of_their_own(engine, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"d{i}", {f"f{k}.txt": f"base {i} file {k} holds the word zanzibar among others, and enough of them" for k in range(4)})
+        engine.add(str(tmp_path / f"d{i}"), f"d{i}")
+    engine.remove("d0")
+    write(tmp_path / "d3", {"g.txt": "a base that takes the place of the first with the word zanzibar and enough others"})
+    engine.add(str(tmp_path / "d3"), "d3")
+    ids = [r.id for r in engine.store.index().chunks.collect()]
+    assert len(set(ids)) == 9 and len({i >> 50 for i in ids}) == 3
+    assert engine.search("zanzibar", "fast", 20)["total_count"] == 9
+
+
+def test_single_files_are_compared_with_their_source(engine, tmp_path):
+    import os
+
+    at = tmp_path / "single.txt"
+    at.write_text("Single file content about authentication tokens and sessions, of some length.")
+    engine.add(str(at), "single")
+    later = engine.now() / 1000 - 5
+    os.utime(at, (later, later))
+    row = engine.status().first()
+    assert (row.stale, row.orphans, row.current, row.coverage_percent) == (0, 0, 1, 100)
+    later = engine.now() / 1000 + 5
+    os.utime(at, (later, later))
+    assert engine.status().first().stale == 1
+    at.unlink()
+    assert engine.status().first().stale == 0  # a missing source can't be compared
+
+
+def test_sources_by_uri(engine, tmp_path):
+    write(tmp_path / "u", {"a.txt": "a file that is named by a URI, and has words enough to be one chunk of text"})
+    assert engine.kind(f"file://{tmp_path}/u") == "directory" and engine.kind(f"file://{tmp_path}/u/a.txt") == "file"
+    assert engine.kind("see s3://bucket/key for the words of this text") == "text" and engine.kind("https://a.b/c") == "url"
+    assert engine.add(f"file://{tmp_path}/u", "folder")["file_count"] == 1
+    assert engine.add(f"file://{tmp_path}/u/a.txt", "file")["chunk_count"] == 1
+    assert engine.plan(f"file://{tmp_path}/u/a.txt")["bytes"] == 75
+
+
+def test_progress(engine, tmp_path):
+    write(tmp_path / "p", {f"doc-{i}.txt": f"Progress document {i} about stable indexing and observable batches. " * 3 for i in range(30)})
+    seen = []
+    kb = engine.add(str(tmp_path / "p"), "p", progress=seen.append)
+    job = engine.store.jobs().filter(F.col("kb_id") == kb["id"]).first()
+    assert (job.status, job.phase, job.total_files, job.files_done, job.chunks_added) == ("succeeded", "succeeded", 30, 30, 30)
+    assert job.message.startswith("Ready: 30 chunks")
+    for part in ("Planned directory scan: 30 files", "Scanning", "Scanned 30 files", "chunks/s", "Ready: 30 chunks"):
+        assert any(part in x for x in seen), part
+    write(tmp_path / "p", {"doc-1.txt": "Changed document about stable indexing and observable changes of the batches."})
+    seen.clear()
+    assert engine.update("p", progress=seen.append) == {"added": 1, "removed": 1, "unchanged": 29}
+    assert any("Embedding update batch" in x for x in seen)
+    before = engine.store.state()["chunks"]
+    assert engine.update("p") == {"added": 0, "removed": 0, "unchanged": 30} and engine.store.state()["chunks"] == before
+
+
+def test_cancellation(engine, spark, tmp_path):
+    at = tmp_path / "source.txt"
+    at.write_text("Initial content about authentication tokens and sessions, long enough to be a chunk.")
+    kb = engine.add(str(at), "c")
+    at.write_text("Changed content about billing invoices and payments, long enough to be a chunk too.")
+    with pytest.raises(e.Cancelled):
+        engine.update("c", cancelled=lambda: True)
+    job = engine.store.jobs().filter(F.col("kb_id") == kb["id"]).first()
+    assert job.status == "cancelled" and job.message == "Update cancelled."
+    assert "authentication" in engine.store.chunks(kb["id"]).first().content
+    # Spark's own work stops too: the embedder would take minutes.
+    slow = e.Engine(spark, str(tmp_path / "slow"), embedder=lambda texts: time.sleep(300))
+    began = time.time()
+    with pytest.raises(e.Cancelled):
+        slow.add(str(at), "s", cancelled=lambda: time.time() - began > 15)
+    assert time.time() - began < 120 and slow.show() == []
+
+
+def test_a_failing_endpoint_falls_back():
+    embed = e.api_embedder("http://127.0.0.1:9/none", "m", max_chars=5, fallback=lambda texts: np.ones((len(texts), 3)))
+    assert embed(["a", "b"]).shape == (2, 3)
+    with pytest.raises(OSError):
+        e.api_embedder("http://127.0.0.1:9/none", "m")(["a"])
