@@ -55,7 +55,7 @@ def test_url_rules(spark):
         best = max(fit, key=lambda r: len(r.key), default=None)
         return host, path, best and best.key, best.verdict if best else "allow"
 
-    for args in ({}, {"bits": 64}, {"max_filter_bits": 1}):
+    for args in ({}, {"bits": 64}, {"shard_keys": 2}):
         got = uf.judge(df, **args).collect()
         assert len(got) == len(URLS) * 2
         for r in got:
@@ -64,6 +64,22 @@ def test_url_rules(spark):
     assert all(r.verdict == "allow" for r in uf.judge(df, []).collect())
 
 
+def test_a_long_list_of_rules(spark):
+    """A table of rules, in one shard and in several: the same as by looking each key up."""
+    pages = spark.range(800).selectExpr("id page_id", "concat('http://h', id % 97, '.com/p', id % 53, '/x') url", "1 url_keys", "2 blocks")
+    rules = spark.range(300).selectExpr("if(id % 3 = 0, 'allow', 'block') verdict", "concat('h', id % 60, '.com') host", "concat('/p', id % 10) path")
+    known = {}
+    for r in rules.collect():
+        known[r.host, r.path] = "block" if "block" in (r.verdict, known.get((r.host, r.path))) else r.verdict
+    for size in (uf.SHARD_KEYS, 40):
+        got = uf.judge(pages, rules, shard_keys=size)
+        assert got.columns == ["page_id", "url", "url_keys", "blocks", "host", "path", "rule", "verdict"]
+        for r in got.collect():
+            fit = [p for h, p in known if h == r.host and r.path.startswith(p)]
+            best = max(fit, key=len, default=None)
+            assert (r.rule, r.verdict) == (best and r.host + best, known[r.host, best] if best else "allow")
+
+
 def test_cascade_is_exact(spark):
     keys = [f"key{i}" for i in range(3000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
@@ -95,6 +111,29 @@ def test_sharding(spark):
     assert sh.shard(df.limit(3), 40).count() == 3
 
 
+def test_shards_equal_brute_force(spark):
+    """Shard and slot of each row by the definition: sort each source by its hash, spread it, sort all, cut."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a"] * 9 + ["b", "c", None]), f"t{rng.randrange(90)}") for i in range(700)] + [(5, "a", "same")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    crc = lambda t: zlib.crc32(t.encode())
+    hashed = [(r.h, r.u, r.doc_id, r.source, r.text) for r in df.select("*", F.xxhash64(F.lit(17), "doc_id", "text").alias("h"), F.xxhash64(F.lit(18), "source").alias("u")).collect()]
+    sources = {}
+    for x in sorted(hashed, key=lambda x: (x[0], x[2], crc(x[4]), len(x[4]))):
+        sources.setdefault(x[3], []).append(x)
+    spread = [((n + x[1] % (1 << 20) / (1 << 20)) / len(xs), x) for xs in sources.values() for n, x in enumerate(xs)]
+    spread.sort(key=lambda y: (y[0], y[1][0], y[1][2], crc(y[1][4]), len(y[1][4]), y[1][3] is not None, y[1][3] or ""))
+    total, want = len(rows), Counter()
+    for at, (_, (_, _, i, s, t)) in enumerate(spread):
+        shard = at * 40 // total
+        want[i, s, crc(t), shard, at - (shard * total + 39) // 40] += 1
+    for size in (50, 10**6):
+        got = sh.shard(df, 40, bucket_rows=size).collect()
+        assert Counter((r.doc_id, r.source, r.text_crc32, r.shard, r.slot) for r in got) == want
+
+
 def test_conversation_digest(spark, tmp_path):
     spark.createDataFrame([(7, 1, "assistant", None), (7, 0, "user", "hé")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in q.op5_chat_format(spark, str(tmp_path)).collect()}
@@ -102,3 +141,19 @@ def test_conversation_digest(spark, tmp_path):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got[-1].turns_sha256 == sha(f"user\n{p}\nassistant\n{p}\n") and got[-1].loss_sha256 == sha(p)
     assert got[7].turns_sha256 == sha("user\nhé\nassistant\n\n") and got[7].loss_chars == 0 and got[7].n_turns == 2
+
+
+def test_long_conversations_take_linear_time(spark):
+    """Work on the mask is linear: four times the turns may take a few times as long, not sixteen times."""
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat('word ', 40) text")
+        made = cf.format_conversations(rows)
+        began = time.perf_counter()
+        got = made.select(cf.under_mask(made.formatted, made.loss_runs).alias("loss")).first()
+        assert len(got.loss) == n // 2 and set(got.loss) == {"word " * 40}
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16_000) < 8 * seconds(4_000) + 2
