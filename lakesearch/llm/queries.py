@@ -167,6 +167,22 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op10_sql() -> str:
+    """For tables of some thousand documents: pairs meet by shared shingles, components by reach along links."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, r, array_to_string(w[p : p + 2], ' ') AS s FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2
+), sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+smallest AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN smallest USING (r) LEFT JOIN sizes USING (r)"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -183,4 +199,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": op1_sql(), "op3_warc": op3_sql(), "op5_chat_format": op5_sql(), "op7_url_filter": op7_sql()}
+    return {
+        "op1_decontamination": op1_sql(), "op3_warc": op3_sql(), "op5_chat_format": op5_sql(), "op7_url_filter": op7_sql(),
+        "op10_minhash_dedup": op10_sql(),
+    }
