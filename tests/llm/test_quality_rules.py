@@ -88,3 +88,69 @@ def test_the_rules_share_one_bound():
     assert qr.certify(qr.np.array(steps), 200, 0.05, 0.05) == 3
     assert qr.upper_bound(2, 200, 0.05) <= 0.05 < qr.upper_bound(5, 200, 0.05)
     assert qr.certify(qr.np.array([0]), 85, 0.05, 0.0125) == 0 and qr.certify(qr.np.array([0]), 86, 0.05, 0.0125) == 1
+
+
+def verdicts(rows, labels, risk=0.05, delta=0.05):
+    """kept of each row by the definition: propose on one half, certify along one sequence on the other."""
+    from math import comb
+    from zlib import crc32
+
+    measured = [(i, lang, qr.measure(t)) for i, t, lang in rows]
+    teach = [(i, lang, m, labels[i]) for i, lang, m in measured if i in labels]
+    strata = {lang for _, lang, _, _ in teach}
+    cuts = {}
+    for s in strata:
+        half = lambda k: [(m, y) for i, lang, m, y in teach if lang == s and crc32(str(i).encode()) % 2 == k]  # noqa: B023, E731
+        plan = []
+        for nth, rule in enumerate(qr.RULES):
+            gains = {}
+            for q in range(1, qr.GRID + 1):
+                hit = [y for m, y in half(0) if m[5 + nth] >= q]
+                gains[q] = hit.count(0) - 20 * hit.count(1)
+            best = max(gains.values())
+            if best > 0:
+                run = [q for q in gains if gains[q] == best]
+                tail = [run[-1]]
+                while tail[0] - 1 in run:
+                    tail.insert(0, tail[0] - 1)
+                plan.append((-best, rule, nth, tail[len(tail) // 2]))
+        good = [m for m, y in half(1) if y == 1]
+        n, held, out, done = len(good), set(), {}, False
+        for _, _, nth, cut in sorted(plan):
+            for q in range(qr.GRID, cut - 1, -1):
+                held |= {j for j, m in enumerate(good) if m[5 + nth] >= q}
+                k = len(held)
+                # The exact upper bound is within the risk if k or fewer are unlikely at that risk.
+                tail_p = sum(comb(n, x) * risk**x * (1 - risk) ** (n - x) for x in range(k + 1)) if n else 1.0
+                if k >= n or tail_p > delta / len(strata):
+                    done = True
+                    break
+                out[nth] = q
+            if done:
+                break
+        cuts[s] = out
+    kept = []
+    for i, lang, m in measured:
+        base = m[0] < 50 or 100 * m[4] > 50 * m[0]
+        kept.append((i, not base and not any(m[5 + nth] >= q for nth, q in cuts.get(lang, {}).items())))
+    return kept
+
+
+def test_verdicts_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows, labels = [], {}
+    for i in range(1500):
+        bad = rng.random() < 0.2
+        junk = rng.choice(["*** ", "!! ", "LOUD ", "word1 word2 word3 "]) if bad else rng.choice(["plain ", "a! ", "x* "])
+        text = " ".join(f"w{rng.randrange(500)} " + (junk if rng.random() < (0.5 if bad else 0.03) else "") for _ in range(rng.randint(45, 80)))
+        rows.append((i, text, rng.choice(["en", "en", "en", "de", None])))
+        if rng.random() < 0.9:
+            labels[i] = int(not bad) if rng.random() < 0.99 else int(bad)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = qr.judge(qr.materialize(qr.measures(docs), "measured"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    got = sorted((r.doc_id, r.kept) for r in judged.collect())
+    want = sorted(verdicts(rows, labels))
+    assert got == want
+    assert len({k for _, k in want}) == 2 and sum(not k for _, k in want) > 100

@@ -41,3 +41,33 @@ def test_segments_match_a_plain_set():
     assert set(d) == {1}
     small = tx.features([text[: 8 * 10]])[1]
     assert set(small) == set(f)  # segments add nothing, but for the padding at their ends, which the small text has too
+
+
+def test_scores_equal_brute_force(spark):
+    """The score by the definition: the weights of the distinct n-grams of the text, and the intercept."""
+    import math
+
+    data = list(rows(200)) + [(900, None, 0), (901, "ab", 0), (902, "É" * 50, 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "id long, text string")
+    labelled = spark.createDataFrame([(i, y) for i, _, y in data], "id long, label int")
+    model = tx.fit(docs, labelled, sample_rows=40, n_features=200)
+
+    def bucket(gram):
+        h = gram[0] + 1
+        for x in gram[1:]:
+            h = (h * 0x01000193 + x + 1) % 2**32
+        x = (h ^ len(gram) * 0x9E3779B1 % 2**32) * 0x85EBCA6B % 2**32
+        x ^= x >> 15
+        return x * 0xC2B2AE35 % 2**32 >> 32 - tx.BITS
+
+    def score(text):
+        raw = (text or "").encode().lower()
+        # n-grams that reach beyond the end are padded with zero bytes
+        padded = raw + bytes(max(tx.ORDERS) - 1)
+        found = {model.slot[bucket(padded[i : i + n])] for n in tx.ORDERS for i in range(len(raw))}
+        z = model.bias + sum(float(model.weight[f]) for f in found if f >= 0)
+        return 1 / (1 + math.exp(-z))
+
+    got = {r.id: r.score for r in tx.score(docs, model).collect()}
+    assert all(abs(got[i] - score(t)) < 1e-6 for i, t, _ in data)
+    assert len({round(x, 9) for x in got.values()}) > 2
