@@ -88,9 +88,11 @@ def with_embeddings(chunks: DataFrame, embedder: Embedder, column: str = "index_
 class Engine:
     def __init__(
         self, spark: SparkSession, root: str, embedder: Embedder = hashing_embedder, scorer: plans.Scorer = plans.lexical_overlap,
-        clock: Callable[[], int] | None = None, grace_ms: int = GRACE_MS,
+        clock: Callable[[], int] | None = None, grace_ms: int = GRACE_MS, stale_ms: int = health.STALE_MS,
     ):
-        """grace_ms: how long old generations stay for plans that were made before; 0 deletes them at once."""
+        """grace_ms: how long old generations stay for plans that were made before; 0 deletes them at once. stale_ms: a
+        job without progress for longer is stuck."""
+        self.stale_ms = stale_ms
         self.spark, self.store, self.embedder, self.scorer = spark, Store(spark, root, grace_ms), embedder, scorer
         self.now = clock or (lambda: int(time.time() * 1000))
 
@@ -286,10 +288,11 @@ class Engine:
             terms = [r.t for r in words.select(F.explode("words").alias("t")).distinct().collect()]
             wanted = F.col("term").isin(terms)
             index = replace(index, postings=index.postings.filter(wanted), terms=index.terms.filter(wanted))
+            o = replace(o, share_texts=False)
         return plans.search(index, asked, o)
 
     def status(self) -> DataFrame:
-        return health.diagnose(*self._health())
+        return health.diagnose(*self._health(), self.stale_ms)
 
     def _health(self):
         kbs = self.store.kbs().withColumnRenamed("id", "kb_id")

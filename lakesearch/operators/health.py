@@ -32,7 +32,7 @@ def stuck(status: Column, job_status: Column, updated_at: Column, progress_at: C
     return (status == "indexing") & (age > limit)
 
 
-def diagnose(kbs: DataFrame, chunks: DataFrame, files: DataFrame, skipped: DataFrame, jobs: DataFrame, now: int) -> DataFrame:
+def diagnose(kbs: DataFrame, chunks: DataFrame, files: DataFrame, skipped: DataFrame, jobs: DataFrame, now: int, limit: int = STALE_MS) -> DataFrame:
     """A row per knowledge base; every side is aggregated by base before it is joined."""
     indexed = latest_indexed(chunks)
     count = lambda df, name: df.groupBy("kb_id").agg(F.count("*").alias(name))
@@ -41,7 +41,7 @@ def diagnose(kbs: DataFrame, chunks: DataFrame, files: DataFrame, skipped: DataF
         out = out.join(side, "kb_id", "left")
     out = out.na.fill(0, ["stale", "orphans", "current", "indexed", "skipped"])
     return out.withColumn("coverage_percent", coverage(F.col("indexed"), F.col("current"))).withColumn(
-        "stuck", F.coalesce(stuck(F.col("status"), F.col("job_status"), F.col("updated_at"), F.col("last_progress_at"), F.lit(now)), F.lit(False))
+        "stuck", F.coalesce(stuck(F.col("status"), F.col("job_status"), F.col("updated_at"), F.col("last_progress_at"), F.lit(now), limit), F.lit(False))
     )
 
 
