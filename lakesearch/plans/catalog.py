@@ -544,7 +544,30 @@ def _chunk_rows(df):
     return df.select("kb_id", "file_path", "ord", "start_line", "end_line", F.length("content").alias("chars"), "content_hash", "metadata_json")
 
 
-@query()
+_HASH = "sha256(concat_ws(chr(0), file_path, {kind}, start_line, end_line, metadata_json, content))"
+_TRIM = "trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+# Packs grow along a file's paragraphs; a paragraph that is too long stands alone and is sliced.
+@query(rf"""WITH RECURSIVE f AS (SELECT lang AS kb_id, source || '/notes/' || doc_id || '.txt' AS file_path, replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents),
+p AS (SELECT file_path, i, p, CAST(ceil(length(p) / 3.0) AS BIGINT) AS t, length(p) > 6000 AS alone
+  FROM (SELECT file_path, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT file_path, string_split_regex(content, '
+
++') AS ps FROM f))),
+g AS (SELECT file_path, i, 1 AS grp, t AS size, alone FROM p WHERE i = 1
+  UNION ALL SELECT g.file_path, p.i, g.grp + CAST(g.alone OR p.alone OR g.size + p.t > 550 AS INT), CASE WHEN g.alone OR p.alone OR g.size + p.t > 550 THEN p.t ELSE g.size + p.t END, p.alone
+  FROM g JOIN p ON p.file_path = g.file_path AND p.i = g.i + 1),
+packs AS (SELECT file_path, grp, bool_or(g.alone) AS alone, string_agg(p.p, chr(10) || chr(10) ORDER BY i) AS raw FROM g JOIN p USING (file_path, i) GROUP BY ALL),
+cut AS (SELECT file_path, grp, 0 AS n, false AS alone, {_TRIM.format(x='raw')} AS content FROM packs WHERE NOT alone
+  UNION ALL SELECT file_path, grp, n, true, {_TRIM.format(x='substr(raw, n * 6000 + 1, 6000)')} FROM (SELECT *, unnest(range(0, CAST(ceil(length(raw) / 6000.0) AS BIGINT))) AS n FROM packs WHERE alone)),
+sized AS (SELECT *, length(content) - length(replace(content, chr(10), '')) + 1 AS lines, length(content) >= 50 AS kept FROM cut),
+placed AS (SELECT *, 1 + coalesce(sum(CASE WHEN alone THEN lines WHEN kept THEN lines + 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY grp, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM sized),
+c AS (SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY grp, n) - 1 AS ord, content, line AS start_line, line + lines AS end_line FROM placed WHERE kept
+  UNION ALL SELECT file_path, 0, {_TRIM.format(x='content')}, 1, length(content) - length(replace(content, chr(10), '')) + 1 FROM f
+  WHERE length({_TRIM.format(x='content')}) > 10 AND file_path NOT IN (SELECT file_path FROM placed WHERE kept)),
+m AS (SELECT *, '{{}}' AS metadata_json FROM c)
+SELECT kb_id, file_path, CAST(ord AS INT) AS ord, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, length(m.content) AS chars,
+  {_HASH.format(kind="'text'").replace('content)', 'm.content)').replace('start_line, end_line', 'CAST(start_line AS INT), CAST(end_line AS INT)')} AS content_hash, metadata_json FROM m JOIN f USING (file_path)""")
 def chunk_text(spark, d):
     return _chunk_rows(chunkers.chunks(_cut_files(spark, d)))
 
@@ -556,9 +579,6 @@ def chunk_markdown(spark, d):
     return _chunk_rows(chunkers.chunks(docs.select(F.col("lang").alias("kb_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), body.alias("content"))))
 
 
-_HASH = "sha256(concat_ws(chr(0), file_path, {kind}, start_line, end_line, metadata_json, content))"
-
-
 @query(f"""WITH p AS (SELECT p_brand AS kb_id, 'src/' || p_partkey || '.py' AS file_path, regexp_replace(p_name, '[^A-Za-z]', '_', 'g') AS name, p_retailprice AS price, p_size AS size FROM part),
 c AS (SELECT kb_id, file_path, 0 AS ord, 2 AS start_line, 3 AS end_line, '    def price(self):' || chr(10) || '        return ' || price AS content, '{{"function_name":"' || name || '.price"}}' AS metadata_json FROM p
   UNION ALL SELECT kb_id, file_path, 1, 6, 7, 'def size():' || chr(10) || '    return ' || size, '{{"function_name":"size"}}' FROM p)

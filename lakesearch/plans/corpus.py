@@ -32,7 +32,8 @@ TYPE_SQL = """CASE doc_id % 6 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk a document: id, kb_id, file_path, file_type, content, start_line, end_line, index_text."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    whole = table(spark, sf_dir, "documents")
+    docs = spread(whole.select("doc_id", "text", "lang", "source"), whole)
     return (
         docs.withColumn("file_path", file_path()).withColumn("file_type", rank.file_type(F.col("file_path")))
         .select(

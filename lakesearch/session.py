@@ -56,9 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
 SPREAD_BYTES = 64 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Before costly work on each row: deal a small table out to all cores; a large one has splits enough."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+def spread(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Before costly work on each row: deal a small table out to all cores; a large one has splits enough. of: the
+    whole table, where df is some of its columns."""
+    size = (of or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SPREAD_BYTES else df
 
 
