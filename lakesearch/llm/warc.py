@@ -208,9 +208,10 @@ def _writer(folder: str):
         names = [f"{mine}{k:05d}{tail}" for k in range(made)]
         for k, name in enumerate(names):
             store.move(own(k), f"{root}/{name}")
-        for x in store.get_file_info(fs.FileSelector(root)):
-            if x.base_name.startswith(mine) and x.base_name.endswith(tail) and x.base_name not in names:
-                store.delete_file(x.path)
+        # An earlier attempt may have moved more of its own; their numbers have no gap.
+        while store.get_file_info(old := f"{root}/{mine}{made:05d}{tail}").type != fs.FileType.NotFound:
+            store.delete_file(old)
+            made += 1
         if names:
             yield pd.DataFrame({"archive": names})
 
