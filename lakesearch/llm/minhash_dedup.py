@@ -46,7 +46,7 @@ from .common import materialize, mix64, release, small_batches, spare, spread_jo
 from .components import components
 
 HASHES, BATCH, MISS = 128, 16, 1e-6
-BLOCK, BLOCK_SHINGLES, STARS = 256, 1_000_000, 2
+BLOCK, BLOCK_SHINGLES, STARS = 128, 1_000_000, 2
 #: Pieces of text that numpy handles at once, in bytes.
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
