@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small_batches
+from .common import small_batches, spare
 
 BLANK = "▁"
 #: Parts and neighbour pairs that a worker keeps (about 90 MB); when full, a cache starts anew.
@@ -152,13 +152,13 @@ class PieceCodec:
         longest = list(text)  # by position; a character without a piece stands for itself
         for end, (back, piece) in self.automaton.iter(text):
             longest[end - back] = piece  # matches come by their end, so the last is the longest
-        failed = 0  # bit i: no encoding that was tried goes on from i
+        failed = bytearray()  # bit i: no encoding that was tried goes on from i; empty until one fails
         shorter, after = self.next_shorter, self.after
         out: list[str] = []
         size, at, token, last = len(text), 0, longest[0], None
         while True:
             if last is None:
-                while token is not None and failed >> at + len(token) & 1:
+                while token is not None and failed and failed[(i := at + len(token)) >> 3] >> (i & 7) & 1:
                     token = shorter.get(token)
             else:
                 known = after.get(last) or {}
@@ -166,13 +166,14 @@ class PieceCodec:
                     fits = known.get(token)
                     if fits is None:
                         fits = self.compatible(last, token)
-                    if fits and not (failed and failed >> at + len(token) & 1):
+                    if fits and not (failed and failed[(i := at + len(token)) >> 3] >> (i & 7) & 1):
                         break
                     token = shorter.get(token)
             if token is None:
                 if last is None:
                     return self.merge(text)  # can't happen with a vocabulary made by merging
-                failed |= 1 << at
+                failed = failed or bytearray((size >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
                 out.pop()
                 at -= len(last)
                 token, last = shorter.get(last), out[-1] if out else None
@@ -285,7 +286,8 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model_file: st
 
 
 def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", model_file: str | None = None) -> DataFrame:
-    """Add the ids of the whole text and the text that they decode to, in one pass of one worker a task."""
+    """Add the ids of the whole text and the text that they decode to, in one pass of one worker a task. Columns
+    of these two names are replaced, all others are kept."""
     model = model_file or public_model()
     small_batches(docs.sparkSession)
 
@@ -296,8 +298,11 @@ def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: s
             coded = [c.encode(x or "") for x in s]
             yield pd.DataFrame({"ids": pd.Series(coded, dtype=object), "decoded": pd.Series([c.decode(x) for x in coded], dtype=object)})
 
-    made = docs.withColumn("_both", both.asNondeterministic()(F.col(text)))
-    return made.withColumn(ids, F.col("_both.ids")).withColumn(decoded, F.col("_both.decoded")).drop("_both")
+    made = spare(docs, "made")
+    return (
+        docs.withColumn(made, both.asNondeterministic()(F.col(text)))
+        .withColumn(ids, F.col(made)["ids"]).withColumn(decoded, F.col(made)["decoded"]).drop(made)
+    )
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model_file: str | None = None) -> DataFrame:
@@ -314,8 +319,8 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model_file: str
     return rows.withColumn(out, text(F.col(ids)))
 
 
-def digests(docs: DataFrame, text: str = "text", model_file: str | None = None) -> DataFrame:
-    """Add a struct ``coded``: n_tokens, ids_sha256, decoded_sha256 of encoding and decoding again."""
+def digests(docs: DataFrame, text: str = "text", out: str = "coded", model_file: str | None = None) -> DataFrame:
+    """Add the struct ``out``: n_tokens, ids_sha256, decoded_sha256 of encoding and decoding again."""
     model = model_file or public_model()
     small_batches(docs.sparkSession)
 
@@ -329,4 +334,4 @@ def digests(docs: DataFrame, text: str = "text", model_file: str | None = None)
                 rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn("coded", coded(F.col(text)))
+    return docs.withColumn(out, coded(F.col(text)))
