@@ -10,7 +10,7 @@ numpy pass over whole texts, in segments, so that memory doesn't depend on the l
 
 Edge cases: null and empty texts have no features and get the score of the intercept. Rows with a null
 label teach nothing. With one class only (or none) the score is the smoothed share of toxic labels.
-Repeated rows get equal scores; extra columns are kept.
+Repeated rows get equal scores. Extra columns are kept; those named held_out, score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BUCKETS = 1 << BITS
 SEGMENT = 1 << 19
 #: Labelled rows of each class that the fit may use, and the features it keeps.
 SAMPLE_ROWS, N_FEATURES = 4000, 4096
+#: Tasks that count features of the sample; each sends its counts, 2 MB, to the driver.
+COUNTERS = 8
 
 
 @dataclass(frozen=True)
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     # 2 * sample_rows rows of two numbers at most, so this side may be broadcast.
     picked = docs.select("id", "text").join(F.broadcast(sample(labelled, sample_rows)), "id")
     one_each = picked.groupBy("id", "label").agg(F.min("text").alias("text"))  # of a repeated id one text counts
-    rows = materialize(one_each, "toxic_sample").repartition(6)
+    rows = materialize(one_each, "toxic_sample").repartition(max(1, min(COUNTERS, 2 * sample_rows // 1000)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, BUCKETS), np.int32)
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
                 n[y] += 1
         yield pd.DataFrame({"n0": [n[0]], "n1": [n[1]], "seen": [seen.tobytes()]})
 
-    parts = rows.mapInPandas(count, "n0 long, n1 long, seen binary").collect()  # six rows of 2 MB
+    parts = rows.mapInPandas(count, "n0 long, n1 long, seen binary").collect()  # COUNTERS rows of 2 MB at most
     n0, n1 = sum(p.n0 for p in parts), sum(p.n1 for p in parts)
     if not n0 or not n1:
         return empty
