@@ -7,17 +7,17 @@ and carries no driver state.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import math
-import shutil
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
+
 #: ASCII white space: the bytes ``[\x20\x09-\x0D]``; ``bytes.split()`` cuts at exactly these.
 SPACES = b" \t\n\r\x0b\x0c"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,18 +40,6 @@ def space_words(text: str | None, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see. Only a local session may get one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="lakesearch-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found := f"file://{own}")
-    return found.rstrip("/")
-
-
 #: Rows and bytes of an Arrow batch of whole texts; a batch holds one row at least.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Of equal share: a key with more than one of so many parts of the rows is hot. Tables of few rows have none.
@@ -64,8 +52,8 @@ def small_batches(spark: SparkSession) -> None:
     session with smaller bounds keeps them."""
     for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        size = int(spark.conf.get(key).lower().rstrip("b"))
-        if not 0 < size <= bound:
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)i?b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= bound:
             spark.conf.set(key, bound)
 
 

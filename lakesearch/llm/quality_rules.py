@@ -16,8 +16,9 @@ strata at once, with probability 1 - delta. A stratum needs ln(delta / strata) /
 good holdout labels at least to reject anything by a rule: 86 with four strata.
 
 Edge cases: a null or empty text has no words and fails the base rule. Documents of a stratum without
-labels (a null stratum is one of its own) are judged by the base rule alone. Of several labels of an
-id the largest counts. Repeated rows are judged alike; extra columns are kept.
+labels (a null stratum is one of its own, apart from any text) are judged by the base rule alone. Of several
+labels of an id the largest counts. Repeated rows are judged alike. Extra columns are kept, whatever their
+names; only ``base_failed``, ``kept`` and the named column of measures are replaced.
 Memory: one text at a time; labels are joined with measures, never with texts.
 """
 
@@ -30,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER, UPPER, fold_of, materialize, small_batches
+from .common import LOWER, UPPER, fold_of, materialize, small_batches, spare, spread_join
 
 SYMBOLS = b"#*$%&|<>"
 #: Measures in thousandths of words, lines, letters or characters; each is a rule.
@@ -38,7 +39,8 @@ RULES = ("symbols", "repeats", "duplicates", "capitals", "exclamations", "long_w
 GRID = 1000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_FALSE_REJECTION, DELTA = 0.05, 0.05
-#: Strata whose cutoffs (seven values each) may be broadcast; beyond, rows meet them by an ordinary join.
+#: Strata whose cutoffs (seven values each, about 2 MB in all) may be broadcast; beyond, rows meet them by a
+#: join that deals the rows of a large stratum to several tasks.
 BROADCAST_STRATA = 20_000
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -151,10 +153,15 @@ def choose(hist: pd.DataFrame, risk: float, alpha: float) -> int | None:
     return GRID + 1 - held if held else None
 
 
+def stratum_key(stratum: Column) -> Column:
+    """A text for each stratum; the null one is apart from all others."""
+    return F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit(""))
+
+
 def thresholds(measured: DataFrame, stratum: Column, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
     """From labelled measures (measures, id, good): a row per stratum with the cutoff of each rule, or null."""
     rows = measured.select(
-        F.coalesce(stratum.cast("string"), F.lit("\x00")).alias("stratum"),
+        stratum_key(stratum).alias("stratum"),
         (fold_of(F.col("id"), 2)).cast("int").alias("half"),
         F.col("good").cast("int").alias("good"),
         *(F.col(f"measures.q_{r}").alias(r) for r in RULES),
@@ -182,8 +189,8 @@ def thresholds(measured: DataFrame, stratum: Column, max_false_rejection: float
     )
     # The step that rejects a good holdout document first, or null.
     first = F.least(*(F.when(F.col(r) >= F.col(f"of_{r}.cut"), F.col(f"of_{r}.start") + GRID - F.col(r)) for r in RULES))
-    few = F.broadcast(sequence) if sequence.count() <= BROADCAST_STRATA else sequence
-    tested = rows.filter("half = 1 and good = 1").join(few, "stratum").groupBy("stratum", "steps", first.alias("step")).agg(F.count("*").alias("n"))
+    tested = meet(rows.filter("half = 1 and good = 1"), sequence, "stratum", "inner")
+    tested = tested.groupBy("stratum", "steps", first.alias("step")).agg(F.count("*").alias("n"))
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
         hit = part[part["step"].notna()]
@@ -196,24 +203,25 @@ def thresholds(measured: DataFrame, stratum: Column, max_false_rejection: float
     return sequence.join(held, "stratum").select("stratum", *(cut(F.col(f"of_{r}")).alias(f"cut_{r}") for r in RULES))
 
 
-def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", **risk: float) -> DataFrame:
-    """Add base_failed and kept to rows (doc_id, measures, stratum, ...); labels: doc_id, quality (1 is good)."""
-    good = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    teach = measured.select("doc_id", "measures", stratum).join(good.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"))
-    cuts = materialize(thresholds(teach, F.col(stratum), **risk), "cutoffs")
-    # A stratum may hold most documents: they aren't shuffled by it where the cutoffs are few.
-    if cuts.count() <= BROADCAST_STRATA:
-        cuts = F.broadcast(cuts)
-    m = F.col("measures")
+def meet(rows: DataFrame, of_stratum: DataFrame, key: str, how: str) -> DataFrame:
+    """Join rows with a written table of one row a stratum. A stratum may hold most rows, so they aren't shuffled by
+    it alone: few strata are broadcast, of many the large ones are dealt."""
+    if of_stratum.count() <= BROADCAST_STRATA:
+        return rows.join(F.broadcast(of_stratum), key, how)
+    return spread_join(rows, of_stratum, key, how)
+
+
+def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", measures: str = "measures", **risk: float) -> DataFrame:
+    """Add base_failed and kept to rows (doc_id, measures, stratum, ...), a written table; labels: doc_id, quality (1 is good)."""
+    good = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("good"))
+    own = measured.select(F.col("doc_id").alias("id"), F.col(measures).alias("measures"), F.col(stratum).alias("stratum"))
+    cuts = materialize(thresholds(own.join(good, "id"), F.col("stratum"), **risk), "cutoffs")
+    m = F.col(measures)
     base = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words)
+    key, cut = spare(measured, "stratum_key"), spare(measured, "cuts")
+    packed = cuts.select(F.col("stratum").alias(key), F.struct(*(f"cut_{r}" for r in RULES)).alias(cut))
     hit = F.lit(False)
     for r in RULES:
-        hit = hit | F.coalesce(m[f"q_{r}"] >= F.col(f"cut_{r}"), F.lit(False))
-    key = F.coalesce(F.col(stratum).cast("string"), F.lit("\x00"))
-    return (
-        measured.drop("base_failed", "kept").withColumn("stratum_key", key)
-        .join(cuts.withColumnRenamed("stratum", "stratum_key"), "stratum_key", "left")
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~base & ~hit)
-        .drop("stratum_key", *(f"cut_{r}" for r in RULES))
-    )
+        hit = hit | F.coalesce(m[f"q_{r}"] >= F.col(cut)[f"cut_{r}"], F.lit(False))
+    rows = measured.drop("base_failed", "kept").withColumn(key, stratum_key(F.col(stratum)))
+    return meet(rows, packed, key, "left").withColumn("base_failed", base).withColumn("kept", ~base & ~hit).drop(key, cut)

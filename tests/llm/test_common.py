@@ -41,3 +41,15 @@ def test_passing_tables(spark):
 def test_spare_names(spark):
     df = spark.createDataFrame([(1, 2)], "nth int, NTH_ int")
     assert common.spare(df, "nth") == "nth__" and common.spare(df, "other") == "other"
+
+
+def test_smaller_batches_of_a_session_stay(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(rows), spark.conf.get(size)
+    for given, want in ((("100", "1m"), ("100", "1m")), (("10000", "64MB"), (str(common.BATCH_ROWS), str(common.BATCH_BYTES)))):
+        spark.conf.set(rows, given[0])
+        spark.conf.set(size, given[1])
+        common.small_batches(spark)
+        assert (spark.conf.get(rows), spark.conf.get(size).rstrip("b")) == want
+    spark.conf.set(rows, was[0])
+    spark.conf.set(size, was[1])
