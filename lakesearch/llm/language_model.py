@@ -1,8 +1,9 @@
 """Operator 2: language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Vocabulary. Executors count the tokens of all training texts. The ``SINGLES`` most frequent tokens are
-output classes of their own; every other token, seen or not, belongs to one of ``BINS`` classes by its
-last two bytes. So the classes cover all tokens at every size of the corpus:
+Vocabulary. Executors count the tokens of all training texts. There are 512 classes, and twice as many for
+each 256-fold of 2^16 training tokens: 1,024 from 2^24 tokens on, 2,048 from 2^32, 4,096 from 2^40. Of these,
+three quarters are the most frequent tokens; every other token, seen or not, belongs to one of the rest, the
+bins, by its last two bytes. So the classes cover all tokens at every size of the corpus and grow with it:
 
     P(token | h) = P(class | h) * P(token | class),   P(token | class) = (c + 1) / (N_b + V_b + 1) in a bin b
 
@@ -45,10 +46,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import fold_of, materialize, release, scratch, small_batches, space_words
 
 END = b""
-SINGLES, BINS, TOP = 768, 255, 32_768
+TOP = 32_768
 #: Classes: begin, the frequent tokens (the end token among them), the bins.
-BEGIN, FIRST_BIN = 0, 1 + SINGLES
-CLASSES = FIRST_BIN + BINS
+BEGIN, LEAST_CLASSES = 0, 512
 WIDTH, NOISE, BATCH, RATE = 24, 24, 4096, 0.15
 FLUSH = 100_000
 #: Parameters of so many partitions are added up in one task; the driver gets COLLECT sums at most.
@@ -57,10 +57,23 @@ FAN_IN, COLLECT = 32, 64
 SHARD, ABREAST = 4_000_000, 64
 
 
-def bin_of(token: bytes) -> int:
+def classes_for(tokens: int) -> int:
+    """The number of classes for so many training tokens."""
+    classes = LEAST_CLASSES
+    while tokens >= 1 << 24:
+        classes, tokens = 2 * classes, tokens >> 8
+    return classes
+
+
+def first_bin(classes: int) -> int:
+    return 1 + classes * 3 // 4
+
+
+def bin_of(token: bytes, classes: int) -> int:
     """The bin of a token without a class of its own: a function of its last two bytes and its length class."""
     a, b = token[-2:-1] or b"\x00", token[-1:] or b"\x00"
-    return FIRST_BIN + (a[0] * 31 + b[0] * 131 + (len(token) > 9) * 61) % BINS
+    first = first_bin(classes)
+    return first + (a[0] * 31 + b[0] * 131 + (len(token) > 9) * 61) % (classes - first)
 
 
 def train_fold(col="doc_id"):
@@ -77,6 +90,10 @@ class Vocabulary:
     class_counts: np.ndarray
     bin_log: np.ndarray
 
+    @property
+    def classes(self) -> int:
+        return len(self.class_counts)
+
 
 def count_tokens(texts: DataFrame) -> DataFrame:
     """texts: (text). Returns (token binary, c), counted in the partitions before the shuffle."""
@@ -102,30 +119,32 @@ def _frames(counts: Counter[bytes]) -> Iterator[pd.DataFrame]:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the written counts: TOP rows and one row of sums per bin come to the driver."""
+    """From the written counts: TOP rows and one row of sums per class come to the driver."""
+    size = classes_for(counts.agg(F.sum("c")).first()[0] or 0)
+    bins = first_bin(size)
     top = [(bytes(r.token), r.c) for r in counts.orderBy(F.desc("c"), "token").limit(TOP).collect()]
-    single = [t for t, _ in top[:SINGLES]]
+    single = [t for t, _ in top[: bins - 1]]
     if END not in single and top:
-        single = [*single[: SINGLES - 1], END]  # the end is always a class of its own
+        single = [*single[: bins - 2], END]  # the end is always a class of its own
     classes = {t: 1 + i for i, t in enumerate(single)}
 
     @F.pandas_udf("int")
-    def bins(tokens: pd.Series) -> pd.Series:
-        return pd.Series([classes.get(bytes(t), None) or bin_of(bytes(t)) for t in tokens], dtype="int32")
+    def class_of(tokens: pd.Series) -> pd.Series:
+        return pd.Series([classes.get(bytes(t), None) or bin_of(bytes(t), size) for t in tokens], dtype="int32")
 
-    sums = counts.groupBy(bins("token").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    sums = counts.groupBy(class_of("token").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    n, v = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for r in sums:
         n[r.k], v[r.k] = r.n, r.v
-    known = {t: (classes.get(t) or bin_of(t), math.log10(c + 1)) for t, c in top}
+    known = {t: (classes.get(t) or bin_of(t, size), math.log10(c + 1)) for t, c in top}
     if END not in known:  # no training text
-        known[END] = (FIRST_BIN - 1, 0.0)
-    log = np.zeros(CLASSES)
-    log[FIRST_BIN:] = np.log10(n[FIRST_BIN:] + v[FIRST_BIN:] + 1)
+        known[END] = (bins - 1, 0.0)
+    log = np.zeros(size)
+    log[bins:] = np.log10(n[bins:] + v[bins:] + 1)
     return Vocabulary(known, int(n.sum()), int(v.sum()), n, log)
 
 
-def classes_of(texts: list[str | None], known: dict[bytes, tuple[int, float]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def classes_of(texts: list[str | None], known: dict[bytes, tuple[int, float]], classes: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Classes of all tokens of the texts with each text's begin twice before it, and each text's token count."""
     out: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
@@ -136,7 +155,7 @@ def classes_of(texts: list[str | None], known: dict[bytes, tuple[int, float]]) -
         words.append(END)
         sizes[i] = len(words)
         out += (BEGIN, BEGIN)
-        out += [e[0] if (e := get(w)) is not None else bin_of(w) for w in words]
+        out += [e[0] if (e := get(w)) is not None else bin_of(w, classes) for w in words]
         tokens += words
     return np.array(out, np.int32), sizes, tokens
 
@@ -174,8 +193,9 @@ def initial(class_counts: np.ndarray, seed: int = 11) -> LogBilinear:
     """Small random representations; with a zero output the model is the unigram distribution."""
     rng = np.random.default_rng(seed)
     p = (class_counts + 1) / (class_counts + 1).sum()
-    r = rng.normal(0, 0.3, (CLASSES, WIDTH)).astype(np.float32)
-    return LogBilinear(r, np.zeros((CLASSES, WIDTH), np.float32), np.ones((2, WIDTH), np.float32), np.log(p).astype(np.float32))
+    size = len(class_counts)
+    r = rng.normal(0, 0.3, (size, WIDTH)).astype(np.float32)
+    return LogBilinear(r, np.zeros((size, WIDTH), np.float32), np.ones((2, WIDTH), np.float32), np.log(p).astype(np.float32))
 
 
 def fresh(model: LogBilinear) -> list[np.ndarray]:
@@ -198,7 +218,7 @@ class Trainer:
         m, n = self.m, len(w)
         ra, rb = m.r[a], m.r[b]
         q = ra * m.c[0] + rb * m.c[1]
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), CLASSES - 1)
+        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), len(self.cdf) - 1)
         s_w = np.einsum("ij,ij->i", q, m.out[w]) + m.bias[w] - self.log_kp[w]
         s_n = q @ m.out[noise].T + (m.bias - self.log_kp)[noise]
         g_w = 1 / (1 + np.exp(-s_w)) - 1  # d loss / d score of the data
@@ -207,7 +227,7 @@ class Trainer:
         d_out, d_bias, d_r = np.zeros_like(m.out), np.zeros_like(m.bias), np.zeros_like(m.r)
         _add(d_out, w, g_w[:, None] * q)
         np.add.at(d_out, noise, g_n.T @ q)
-        d_bias += np.bincount(w, g_w, CLASSES).astype(np.float32)
+        d_bias += np.bincount(w, g_w, len(self.cdf)).astype(np.float32)
         np.add.at(d_bias, noise, g_n.sum(0))
         _add(d_r, a, dq * m.c[0])
         _add(d_r, b, dq * m.c[1])
@@ -229,7 +249,8 @@ def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 def encode(texts: DataFrame, vocab: Vocabulary, shards: int, turns: int) -> DataFrame:
     """Write the classes of all texts in slices of a megabyte of text: (shard, part, at, codes), by turn."""
     spark = texts.sparkSession
-    known = spark.sparkContext.broadcast({t: e for t, e in vocab.known.items() if e[0] < FIRST_BIN})
+    classes = vocab.classes
+    known = spark.sparkContext.broadcast({t: e for t, e in vocab.known.items() if e[0] < first_bin(classes)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -237,7 +258,7 @@ def encode(texts: DataFrame, vocab: Vocabulary, shards: int, turns: int) -> Data
         part, at = TaskContext.get().partitionId(), 0
 
         def row(slice_: list[str | None]) -> pd.DataFrame:
-            codes = classes_of(slice_, known.value)[0].astype(np.uint16).tobytes()
+            codes = classes_of(slice_, known.value, classes)[0].astype(np.uint16).tobytes()
             shard = zlib.crc32(f"{part}:{at}".encode()) % shards
             return pd.DataFrame({"turn": [shard % turns], "shard": [shard], "part": [part], "at": [at], "codes": [codes]})
 
@@ -321,7 +342,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
     tables = [x.astype(np.float32) for x in model.tables()]
     # Where nothing was learned, the end is no known token either.
     shared = sc.broadcast((vocab.known if vocab.distinct else {}, tables, vocab.bin_log))
-    ln10 = math.log(10)
+    ln10, classes, bins = math.log(10), vocab.classes, first_bin(vocab.classes)
 
     schema = (
         "doc_id long, held_out boolean, row long, n_tokens long, n_known long, common double, model double, "
@@ -337,13 +358,13 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
                 while begin + len(part) < len(texts) and size < 1 << 20:
                     part.append(texts[begin + len(part)].as_py())
                     size += len(part[-1] or "")
-                flat, sizes, tokens = classes_of(part, known)
+                flat, sizes, tokens = classes_of(part, known, classes)
                 a, b, w = contexts(flat, sizes)
                 p = (m1[a, w].astype(np.float64) + m2[b, w] - z[a, b]) / ln10 - bin_log[w]
                 logs = np.fromiter((e[1] if (e := known.get(t)) is not None else -1.0 for t in tokens), np.float64, len(tokens))
                 is_known = logs >= 0
                 common = np.where(is_known, logs, 0.0)
-                inside = np.where(w >= FIRST_BIN, common, 0.0)
+                inside = np.where(w >= bins, common, 0.0)
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 rare: list[list[bytes]] = []
                 rare_n: list[list[int]] = []

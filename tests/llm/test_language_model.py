@@ -65,12 +65,13 @@ def test_probabilities_sum_to_one(spark):
     p = np.exp(m1[3] + m2[7] - z[3, 7])
     assert abs(p.sum() - 1) < 1e-4 and p[lm.BEGIN] < 1e-9
     known = Counter({bytes(r.token): r.c for r in counts.collect()})
-    of_class = np.zeros(lm.CLASSES)
+    size, bins = vocab.classes, lm.first_bin(vocab.classes)
+    of_class = np.zeros(size)
     for t, c in known.items():
         k = vocab.known[t][0]
-        of_class[k] += 1.0 if k < lm.FIRST_BIN else (c + 1) / 10 ** vocab.bin_log[k]
-    of_class[lm.FIRST_BIN :] += 1 / 10 ** vocab.bin_log[lm.FIRST_BIN :]  # one unseen token in each bin
-    used = [k for k in range(1, lm.CLASSES) if k >= lm.FIRST_BIN or any(e[0] == k for e in vocab.known.values())]
+        of_class[k] += 1.0 if k < bins else (c + 1) / 10 ** vocab.bin_log[k]
+    of_class[bins:] += 1 / 10 ** vocab.bin_log[bins:]  # one unseen token in each bin
+    used = [k for k in range(1, size) if k >= bins or any(e[0] == k for e in vocab.known.values())]
     assert np.allclose(of_class[used], 1)
 
 
@@ -106,7 +107,7 @@ def chain(n, seed):
 def held_out_mean(spark, parts):
     docs = lm.materialize(spark.createDataFrame([(t,) for t in chain(1000, 5)], "text string").repartition(parts), "texts")
     vocab = lm.vocabulary(lm.materialize(lm.count_tokens(docs), "counts"))
-    flat, sizes, _ = lm.classes_of(list(chain(50, 6)), vocab.known)
+    flat, sizes, _ = lm.classes_of(list(chain(50, 6)), vocab.known, vocab.classes)
     a, b, w = lm.contexts(flat, sizes)
     start, trained = ((m1[a, w] + m2[b, w] - z[a, b]).mean() for m1, m2, z in (m.tables() for m in (lm.initial(vocab.class_counts), lm.train(docs, vocab))))
     return trained - start
@@ -120,3 +121,38 @@ def test_learning_does_not_shrink_with_the_partitions(spark):
 def test_turns_follow_each_other(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 45_000)  # nine shards: three turns of three
     assert held_out_mean(spark, 64) > 0.2
+
+
+def test_classes_grow_with_the_tokens():
+    assert [lm.classes_for(n) for n in (0, 1 << 20, (1 << 24) - 1, 1 << 24, 1 << 32, 1 << 40)] == [512, 512, 512, 1024, 2048, 4096]
+    assert lm.first_bin(1024) == 769
+
+
+def test_scores_equal_brute_force(spark):
+    """The score of each text by the definition: class probability from the normalised model, add-one within a bin."""
+    docs = spark.createDataFrame([(i, t) for i, t in rows() if i is not None and i < 604], "doc_id long, text string")
+    teach = docs.filter(lm.train_fold()).select("text")
+    counts = lm.materialize(lm.count_tokens(teach), "counts")
+    vocab = lm.vocabulary(counts)
+    model = lm.train(teach, vocab)
+    got = {r.doc_id: r.score for r in lm.score(docs, counts, vocab, model).collect()}
+    known = {bytes(r.token): r.c for r in counts.collect()}
+    size, bins = vocab.classes, lm.first_bin(vocab.classes)
+    common = sorted(known, key=lambda t: (-known[t], t))[: bins - 1]
+    number = {t: i + 1 for i, t in enumerate(common)}
+    cls = lambda t: number.get(t) or lm.bin_of(t, size)
+    inside = {k: (sum(c for t, c in known.items() if cls(t) == k), sum(cls(t) == k for t in known)) for k in range(bins, size)}
+    for i, t in rows():
+        if i is None or i >= 604:
+            continue
+        want, a, b = 0.0, 0, 0
+        for w in (x.encode() for x in words(t)):
+            k = cls(w)
+            s = ((model.r[a] * model.c[0] + model.r[b] * model.c[1]).astype(np.float64) @ model.out.T.astype(np.float64)) + model.bias
+            s[0] = -np.inf
+            want += (s[k] - s.max() - math.log(np.exp(s - s.max()).sum())) / math.log(10)
+            if k >= bins:
+                n, v = inside[k]
+                want += math.log10((known.get(w, 0) + 1) / (n + v + 1))
+            a, b = b, k
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want)), i
