@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat_format, decontamination, language_model, minhash_dedup, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, warc
+from ..session import spread
 from .common import LOWER, UPPER, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """All documents; a table too small to be split is dealt out to all cores."""
+    whole = table(spark, sf_dir, "documents")
+    return spread(whole.select(*columns), whole)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     seen = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
     items = F.col("leak.items")
     return seen.select(
@@ -44,7 +51,7 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN seen USING (r)"""
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return language_model.learn_and_score(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +71,7 @@ SELECT page_id, n AS payload_bytes,
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return sentencepiece_codec.digests(docs).select("doc_id", "coded.*")
 
 
@@ -122,7 +129,7 @@ FROM seen GROUP BY conv_id"""
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     measured = materialize(quality_rules.measures(docs).drop("text"), "measures")
     judged = quality_rules.judge(measured, table(spark, sf_dir, "labels"))
     counts = [f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -157,12 +164,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     found = minhash_dedup.cluster(docs, k=3, percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
