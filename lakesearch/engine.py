@@ -288,7 +288,6 @@ class Engine:
             terms = [r.t for r in words.select(F.explode("words").alias("t")).distinct().collect()]
             wanted = F.col("term").isin(terms)
             index = replace(index, postings=index.postings.filter(wanted), terms=index.terms.filter(wanted))
-            o = replace(o, share_texts=False)
         return plans.search(index, asked, o)
 
     def status(self) -> DataFrame:

@@ -67,6 +67,56 @@ def test_fallback_and_scope(spark):
     assert by_kb[0] == search(spark, texts, ["alpha beta"], "and")[0][0]  # statistics are of all bases
 
 
+def test_chunks_and_postings_hold_the_same(spark):
+    """A pass over the chunks and the stored postings give equal hits, in every mode; phrases, repeated and empty terms too."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(1, 30))) for _ in range(80)] + ["", None]
+    c = corpus(spark, texts).repartition(3)
+    asked = ["alpha beta", "don't don't alpha", "run_time x1", "認證 gamma", "absent", "alpha ,", "", None, "file type engine", "naïve"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    found = [bm25.Found.in_chunks(c, a) for a in bm25.blocks(q)]
+    for mode, scope in (("and", None), ("or", None), ("fallback", None), ("fallback", "kb")):
+        rows = lambda df: {(r.query_id, r.id, r.kb_id): r.score for r in df.collect()}
+        want = rows(bm25.bm25(bm25.postings(c), bm25.doc_stats(c), q, mode, scope))
+        assert want and rows(bm25.search(found, c, mode, scope)) == want
+
+
+@pytest.mark.parametrize("by", [("query_id",), ("query_id", "kb_id")])
+@pytest.mark.parametrize("mode", ["and", "or", "fallback"])
+def test_a_task_keeps_its_best_hits_only(spark, monkeypatch, mode, by):
+    """What is shuffled grows with tasks, queries and the limit, not with queries times chunks; the best stay, and of
+    equal texts the smaller ids."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(WORDS[:6], k=5)) for _ in range(400)] + ["alpha beta gamma"] * 200
+    c = corpus(spark, texts).coalesce(2)
+    q = spark.createDataFrame(list(enumerate(["alpha beta", "gamma", "beta delta absent"])), "query_id long, query string")
+    scope = "kb" if len(by) > 1 else None
+    rows = lambda df: sorted((r.query_id, r.kb_id, r.rank, r.id, r.score) for r in df.collect())
+    want = rows(bm25.top(bm25.bm25(bm25.postings(c), bm25.doc_stats(c), q, mode, scope), 4, by))
+    found = [bm25.Found.in_chunks(c, a) for a in bm25.blocks(q)]
+    hits = bm25.search(found, c, mode, scope, by, 4)
+    assert rows(bm25.top(hits, 4, by)) == want
+    assert hits.count() <= found[0].table.rdd.getNumPartitions() * 3 * 2 * len(by) * 4
+    # The same with little room, so that rows are dropped and passed on many times
+    for name, room in (("HITS", 50), ("CELLS", 7), ("QUERY_TILE", 2)):
+        monkeypatch.setattr(bm25, name, room)
+    f = found[0]
+    idf = np.maximum(np.log((f.n - f.df + 0.5) / (f.df + 0.5)), bm25.LEAST_IDF)
+    work = bm25.Scorer(f.asked, f.df, idf, f.avgdl, mode == "and", "kb_id" in by, 4, None, None)
+    kept = [r for b in work.run(iter(f.table.toArrow().to_batches(40))) for r in b.to_pylist()]
+    top = bm25.top(spark.createDataFrame([(r["query_id"], r["id"], r["kb_id"], r["score"], r["every"]) for r in kept], "query_id long, id long, kb_id string, score double, every boolean"), 4, (*by, "every"))
+    every = bm25.top(f.hits(mode, by, 4), 4, (*by, "every"))
+    assert sorted(top.collect()) == sorted(every.collect())
+
+
+def test_few_queries_a_pass(spark, monkeypatch):
+    texts = ["alpha beta", "alpha", "beta", "alpha gamma", "don't"]
+    asked = ["alpha beta", "gamma", "don't", "alpha"]
+    want = search(spark, texts, asked, "fallback")
+    monkeypatch.setattr(bm25, "BLOCK_PHRASES", 1)
+    assert search(spark, texts, asked, "fallback") == want
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(300, 8)).astype(np.float32)
