@@ -182,6 +182,25 @@ def test_mmr(spark, diversity):
     assert [r.place for r in diversify.mmr(df.filter("id < 2"), diversity).orderBy("rank").collect()] == [1, 2]
 
 
+@pytest.mark.parametrize("positions", [1, 3, 6])
+def test_rows_out_of_reach_change_no_page(spark, positions):
+    """Rows that can't come to a page are left out before their tokens are fetched; the page stays."""
+    rng = random.Random(positions)
+    rows = [{**r, "query_id": q} for q in range(6) for r in candidates(40, rng)]
+    for r in rows:
+        del r["embedding"]
+        r["file_path"] = f"f{rng.randint(0, 30)}" if r["query_id"] % 2 else r["file_path"]
+        r["score"] = rng.random() ** 4
+    for q in range(6):
+        for n, r in enumerate(sorted((r for r in rows if r["query_id"] == q), key=lambda r: -r["score"])):
+            r["rank"] = n + 1
+    df = spark.createDataFrame(rows, "query_id long, rank long, id long, kb_id string, file_path string, score double, tokens array<string>, start_line int, end_line int, source_ids array<long>")
+    page = lambda x: sorted((r.query_id, r.position, r.id) for r in diversify.interleave(diversify.mmr(x, "balanced")).collect() if r.position <= positions)
+    near = diversify.reachable(df, "balanced", positions)
+    assert positions > 3 or near.count() < len(rows)  # with six positions and many rows a file all may be needed
+    assert page(near) == page(df)
+
+
 def test_line_proximity():
     at = lambda a, b, f="x": {"kb_id": "k", "file_path": f, "start_line": a, "end_line": b, "source_ids": [a]}
     p = diversify.line_proximity
